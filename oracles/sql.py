@@ -875,3 +875,51 @@ _add("stream_sales_trends", "Date:s DailyOrders:n DailyRevenue:d AverageOrderVal
           sum(amount) AS DailyRevenue, round(CAST(sum(amount) AS DOUBLE) / count(*), 6) AS AverageOrderValue
         FROM (SELECT ts, CAST(value AS DECIMAL(18,2)) AS amount FROM events WHERE event_type = 'purchase')
         GROUP BY 1""")
+
+# Serving one by one, literally: a recursion over the orders that carries the stock of all
+# books, the promotions used and the (promotion, customer) pairs that used them.
+_SERVED = _PRICED_CTES + """
+  repeated AS (SELECT DISTINCT OrderID FROM request_lines GROUP BY OrderID, BookID HAVING count(*) > 1),
+  shelf AS (SELECT BookID, row_number() OVER (ORDER BY BookID) AS slot FROM books),
+  needs AS (
+    SELECT OrderID, map_from_entries(list((slot, Quantity))) AS need, bool_or(slot IS NULL) AS unknown_book
+    FROM request_lines LEFT JOIN shelf USING (BookID)
+    WHERE OrderID NOT IN (SELECT OrderID FROM repeated) GROUP BY OrderID),
+  queue AS MATERIALIZED (
+    SELECT p.OrderID, p.CustomerID, p.PromotionID, p.UsageLimit - p.UsedCount AS uses_left, need,
+      unknown_book, row_number() OVER (ORDER BY p.OrderID) AS turn
+    FROM priced p JOIN needs n ON n.OrderID = p.OrderID
+    WHERE p.Reason IS NULL AND p.OrderID NOT IN (SELECT OrderID FROM repeated)),
+  served AS (
+    SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS OrderID, CAST(NULL AS VARCHAR) AS fate,
+      (SELECT list(Stock ORDER BY BookID) FROM books) AS stock,
+      CAST([] AS BIGINT[]) AS promos, CAST([] AS VARCHAR[]) AS pairs
+    UNION ALL
+    SELECT turn, OrderID, fate,
+      CASE WHEN fate IS NULL THEN list_transform(stock, lambda s, i: s - coalesce(need[i], 0)) ELSE stock END,
+      CASE WHEN fate IS NULL AND PromotionID IS NOT NULL THEN list_append(promos, PromotionID) ELSE promos END,
+      CASE WHEN fate IS NULL AND PromotionID IS NOT NULL
+           THEN list_append(pairs, PromotionID || '-' || CustomerID) ELSE pairs END
+    FROM (
+      SELECT q.*, s.stock, s.promos, s.pairs, CASE
+        WHEN len(list_filter(s.promos, lambda p: p = q.PromotionID)) >= q.uses_left THEN 'promotion_exhausted'
+        WHEN list_contains(s.pairs, q.PromotionID || '-' || q.CustomerID) THEN 'already_used'
+        WHEN q.unknown_book OR len(list_filter(map_entries(q.need), lambda e: e.value > s.stock[e.key])) > 0
+          THEN 'insufficient_stock' END AS fate
+      FROM served s JOIN queue q ON q.turn = s.turn + 1)),
+"""
+_add("take_orders", "OrderID:n Accepted:b Reason:s",
+     """SELECT p.OrderID, s.OrderID IS NOT NULL AND s.fate IS NULL AS Accepted,
+          CASE WHEN p.Reason IS NOT NULL THEN p.Reason
+               WHEN p.OrderID IN (SELECT OrderID FROM repeated) THEN 'repeated_book'
+               ELSE s.fate END AS Reason
+        FROM priced p LEFT JOIN served s ON s.OrderID = p.OrderID""", _SERVED)
+_add("take_orders_stock", _BOOK,
+     """SELECT * REPLACE (OutputQuantity + sold AS OutputQuantity,
+          InputQuantity - OutputQuantity - sold AS Stock)
+        FROM (SELECT b.*, coalesce((SELECT sum(l.Quantity) FROM request_lines l
+                JOIN served s ON s.OrderID = l.OrderID AND s.fate IS NULL
+                WHERE l.BookID = b.BookID), 0) AS sold FROM books b)""", _SERVED)
+
+for _name in ("take_orders", "take_orders_stock"):
+    _ORACLES[_name] = _ORACLES[_name].replace("WITH", "WITH RECURSIVE", 1)
