@@ -144,7 +144,8 @@ def _use_rows(spark: SparkSession, root: str) -> DataFrame:
 
 def _priced(spark: SparkSession, root: str) -> DataFrame:
     t = star.star_tables(spark, root)
-    return ordering.price_orders(t, *B.order_requests(spark, root), PROMOTION_AS_OF)
+    priced = ordering.price_orders(t, *B.order_requests(spark, root), PROMOTION_AS_OF)
+    return priced.drop("Repeated")
 
 
 def _method_checks(spark: SparkSession, root: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.functions.values import blank, or_zero
-from ledgerlane.operators.relational import having_key, listing
+from ledgerlane.operators.relational import having_key, listing, lookup
 from ledgerlane.plans.dashboard import line_amount
 from ledgerlane.sources.tables import Tables
 
@@ -38,11 +38,8 @@ def order_list(t: Tables, ordered: bool = False) -> DataFrame:
         "PaymentMethodID", F.col("MethodName").alias("PaymentMethodName")
     )
     promotions = t.promotions.select("PromotionID", "PromotionCode", "PromotionName")
-    full = (
-        _with_customer(t, with_item_count(t, t.orders))
-        .join(methods, "PaymentMethodID", "left")
-        .join(promotions, "PromotionID", "left")
-    )
+    named = _with_customer(t, with_item_count(t, t.orders)).join(methods, "PaymentMethodID", "left")
+    full = lookup(named, promotions, "PromotionID", -1 - F.col("OrderID"))
     return listing(full, NEWEST_FIRST, ordered)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.functions import values as V
-from ledgerlane.operators.relational import lacking_key, listing
+from ledgerlane.operators.relational import lacking_key, listing, lookup
 from ledgerlane.schema import LOYAL_ORDERS
 from ledgerlane.sources.tables import Tables
 
@@ -90,25 +90,29 @@ def failing_targets(t: Tables, requests: DataFrame, lines: DataFrame) -> DataFra
     Targets are walked in order until one decides: an ``all`` accepts, a
     customer or product that does not match refuses.  Without an order of
     steps: refused when the first failing target comes before the first
-    ``all``.  Only product targets look at the lines, through an equi-join on
-    (order, book) after the lines are reduced to one row per pair.
+    ``all``.  Only requests with a product target meet the lines.
     """
     aimed = requests.select("OrderID", "CustomerID", "PromotionID").join(
         t.promotion_targets, "PromotionID"
     )
-    wanted = F.col("TargetID_Value")
+    kind, wanted = F.col("TargetType"), F.col("TargetID_Value")
     named = wanted.isNotNull() & (wanted != 0)
-    is_product = (F.col("TargetType") == "product") & named
-    other_customer = (F.col("TargetType") == "customer") & named & (wanted != F.col("CustomerID"))
-    bought = lines.select("OrderID", F.col("BookID").alias("_book"), F.lit(True).alias("_has"))
-    walked = aimed.withColumn("_book", F.when(is_product, wanted)).join(
-        bought.distinct(), ["OrderID", "_book"], "left"
+    is_product = (kind == "product") & named
+    other_customer = (kind == "customer") & named & ~wanted.eqNullSafe(F.col("CustomerID"))
+    products = aimed.filter(is_product).select(
+        "OrderID", "TargetID", F.col("TargetID_Value").alias("BookID")
     )
-    fails = F.coalesce(other_customer | (is_product & F.col("_has").isNull()), F.lit(False))
-    verdict = walked.groupBy("OrderID").agg(
-        F.min(F.when(fails, F.col("TargetID"))).alias("_fail"),
-        F.min(F.when(F.col("TargetType") == "all", F.col("TargetID"))).alias("_all"),
+    bought = (
+        lines.select("OrderID", "BookID").join(products, ["OrderID", "BookID"])
+        .select("OrderID", "TargetID").distinct().withColumn("_bought", F.lit(True))
     )
+    fails = other_customer | (is_product & F.col("_bought").isNull())
+    steps = aimed.join(bought, ["OrderID", "TargetID"], "left").select(
+        "OrderID",
+        F.when(F.coalesce(fails, F.lit(False)), F.col("TargetID")).alias("_fail"),
+        F.when(kind == "all", F.col("TargetID")).alias("_all"),
+    )
+    verdict = steps.groupBy("OrderID").agg(F.min("_fail").alias("_fail"), F.min("_all").alias("_all"))
     refused = F.col("_all").isNull() | (F.col("_fail") < F.col("_all"))
     return verdict.filter(F.col("_fail").isNotNull() & refused).select("OrderID")
 
@@ -125,7 +129,9 @@ def validate_promotions(
         F.upper("PromotionCode").alias("_code"), "PromotionID", "DiscountType", "DiscountValue",
         "MinimumOrderAmount", "MaximumDiscount", "UsageLimit", "UsedCount",
     )
-    judged = requests.withColumn("_code", F.upper("PromotionCode")).join(terms, "_code", "left")
+    code = F.when(~V.blank("PromotionCode"), F.upper("PromotionCode"))
+    no_code = F.concat(F.lit("\0"), F.col("OrderID").cast("string"))
+    judged = lookup(requests.withColumn("_code", code), terms, "_code", no_code)
     earlier = t.promotion_usage.select(
         "PromotionID", "CustomerID", F.lit(True).alias("_used")
     ).distinct()

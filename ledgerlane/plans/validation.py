@@ -113,23 +113,44 @@ def _header_checks(has_items):
     ]
 
 
-def validate_orders(headers: DataFrame, lines: DataFrame) -> DataFrame:
-    """Judge orders by header and lines; the earliest failing line gives the reason.
-
-    Position and fault become one number, so finding the earliest fault is a
-    plain minimum that is combined before the shuffle.
-    """
+def _line_rank():
+    """Position and fault as one number: the earliest fault is a plain minimum."""
     fault = _line_fault(F.col("BookID"), F.col("Quantity"), F.col("Price"))
-    first = lines.groupBy("OrderID").agg(
-        F.min(F.col("Position") * 4 + fault).alias("_first"),
-        F.lit(True).alias("_has"),
-    )
-    joined = headers.join(first, "OrderID", "left")
+    return F.col("Position") * 4 + fault
+
+
+def judge_orders(headers: DataFrame, facts: DataFrame) -> DataFrame:
+    """Judge headers by their own fields and by ``FirstFault`` of their lines."""
+    joined = headers.join(facts.withColumn("_has", F.lit(True)), "OrderID", "left")
     judged = joined.withColumn("Reason", F.coalesce(
         first_failure(_header_checks(F.col("_has").isNotNull())),
-        _reason_of(F.col("_first") % 4),
+        _reason_of(F.col("FirstFault") % 4),
     ))
-    return judged.drop("_first", "_has")
+    return judged.drop("FirstFault", "_has")
+
+
+def validate_orders(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Judge orders by header and lines; the earliest failing line gives the reason."""
+    facts = lines.groupBy("OrderID").agg(F.min(_line_rank()).alias("FirstFault"))
+    return judge_orders(headers, facts)
+
+
+def line_facts(lines: DataFrame) -> DataFrame:
+    """Per order, in one pass: first fault, subtotal, and whether a book occurs twice.
+
+    Summing per (order, book) first keeps even a giant order spread out.
+    """
+    counted = ~blank("BookID") & (F.col("Quantity") > 0)
+    per_book = lines.groupBy("OrderID", "BookID").agg(
+        F.count("*").alias("_n"),
+        F.min(_line_rank()).alias("_rank"),
+        F.sum(F.when(counted, F.col("Quantity") * F.col("Price"))).alias("_amount"),
+    )
+    return per_book.groupBy("OrderID").agg(
+        F.min("_rank").alias("FirstFault"),
+        F.coalesce(F.sum("_amount"), F.lit(0)).cast(S.MONEY).alias("SubTotal"),
+        (F.max("_n") > 1).alias("Repeated"),
+    )
 
 
 def validate_nested_orders(requests: DataFrame) -> DataFrame:

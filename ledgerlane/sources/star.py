@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlane import schema as S
 from ledgerlane.sources import seeds
@@ -36,115 +36,96 @@ def source(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(SOURCE[name]).parquet(f"{root}/{name}.parquet")
 
 
-def conform(df: DataFrame, schema) -> DataFrame:
-    """Project to a declared schema, by name and type."""
-    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
+def _project(df: DataFrame, schema: T.StructType, **columns: str) -> DataFrame:
+    """The columns of a declared schema, each from its SQL expression."""
+    return df.selectExpr(*(
+        f"CAST({columns[f.name]} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields
+    ))
+
+
+FIRST_PART_PROMOTION = len(S.SEED_PROMOTIONS) + 1
 
 
 def books(spark: SparkSession, root: str) -> DataFrame:
     """Opening stock counts as taken in; the brand number names the supplier."""
-    return conform(
-        source(spark, root, "part").select(
-            F.col("p_partkey").alias("BookID"),
-            F.col("p_name").alias("Title"),
-            F.col("p_brand").alias("Author"),
-            F.col("p_type").alias("Genre"),
-            F.col("p_retailprice").alias("Price"),
-            F.col("p_size").alias("Stock"),
-            F.col("p_size").alias("InputQuantity"),
-            F.lit(0).alias("OutputQuantity"),
-            F.substring("p_brand", 7, 10).alias("SupplierID"),
-        ),
-        S.BOOKS,
+    return _project(
+        source(spark, root, "part"), S.BOOKS,
+        BookID="p_partkey", Title="p_name", Author="p_brand", Genre="p_type",
+        Price="p_retailprice", Stock="p_size", InputQuantity="p_size", OutputQuantity="0",
+        SupplierID="substring(p_brand, 7)",
     )
 
 
 def customers(spark: SparkSession, root: str) -> DataFrame:
-    return source(spark, root, "customer").select(
-        F.col("c_custkey").alias("CustomerID"),
-        F.col("c_name").alias("Name"),
-        F.concat(
-            F.lower(F.replace("c_name", F.lit("#"), F.lit("."))),
-            F.lit("@"), F.lower("c_mktsegment"), F.lit(".example"),
-        ).alias("Email"),
-        (F.col("c_custkey") + 10_000_000_000).cast("string").alias("Phone"),
+    return _project(
+        source(spark, root, "customer"), S.CUSTOMERS,
+        CustomerID="c_custkey", Name="c_name",
+        Email="concat(lower(replace(c_name, '#', '.')), '@', lower(c_mktsegment), '.example')",
+        Phone="c_custkey + 10000000000",
     )
 
 
 def suppliers(spark: SparkSession, root: str) -> DataFrame:
-    return source(spark, root, "supplier").select(
-        F.col("s_suppkey").alias("SupplierID"),
-        F.col("s_name").alias("Name"),
-        F.concat(F.lit("Nation "), F.col("s_nationkey")).alias("Address"),
-        (F.col("s_suppkey") + 20_000_000_000).cast("string").alias("Phone"),
+    return _project(
+        source(spark, root, "supplier"), S.SUPPLIERS,
+        SupplierID="s_suppkey", Name="s_name", Address="concat('Nation ', s_nationkey)",
+        Phone="s_suppkey + 20000000000",
     )
 
 
+_TOTAL = "CAST(o_totalprice AS DECIMAL(18,2))"
+_PROMOTION = (
+    "CASE o_orderpriority WHEN '1-URGENT' THEN 1 "
+    f"WHEN '2-HIGH' THEN o_custkey + {FIRST_PART_PROMOTION} END"
+)
+_CUT = (
+    "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') "
+    f"THEN CAST({_TOTAL} * 0.05BD AS DECIMAL(18,2)) ELSE 0 END"
+)
+
+
 def orders(spark: SparkSession, root: str) -> DataFrame:
     """Urgent orders use the first seeded promotion, high ones that of a part."""
-    priority = F.col("o_orderpriority")
-    promotion = F.when(priority == "1-URGENT", F.lit(1).cast("long")).when(
-        priority == "2-HIGH", F.col("o_custkey") + len(S.SEED_PROMOTIONS) + 1
-    )
-    total = F.col("o_totalprice").cast(S.MONEY)
-    cut = F.when(promotion.isNotNull(), total * F.lit("0.05").cast("decimal(3,2)")).otherwise(0)
-    cut = cut.cast(S.MONEY)
-    status = F.when(F.col("o_orderstatus") == "F", "paid").when(
-        F.col("o_orderstatus") == "P", "pending").otherwise("failed")
-    day = F.col("o_orderdate").cast("date")
-    return conform(
-        source(spark, root, "orders").select(
-            F.col("o_orderkey").alias("OrderID"),
-            F.col("o_custkey").alias("CustomerID"),
-            day.alias("OrderDate"),
-            (total + cut).alias("SubTotal"),
-            cut.alias("DiscountAmount"),
-            total.alias("TotalAmount"),
-            F.when(priority != "4-NOT SPECIFIED", F.substring(priority, 1, 1)).alias("PaymentMethodID"),
-            promotion.alias("PromotionID"),
-            status.alias("PaymentStatus"),
-            F.when(status == "paid", day.cast("timestamp")).alias("PaymentDate"),
-            F.when(status == "paid", F.concat(F.lit("TXN_"), F.col("o_orderkey"))).alias("TransactionID"),
-        ),
-        S.ORDERS,
+    return _project(
+        source(spark, root, "orders"), S.ORDERS,
+        OrderID="o_orderkey", CustomerID="o_custkey", OrderDate="o_orderdate",
+        SubTotal=f"{_TOTAL} + {_CUT}", DiscountAmount=_CUT, TotalAmount="o_totalprice",
+        PaymentMethodID="CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' "
+                        "THEN substring(o_orderpriority, 1, 1) END",
+        PromotionID=_PROMOTION,
+        PaymentStatus="CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'P' THEN 'pending' "
+                      "ELSE 'failed' END",
+        PaymentDate="CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END",
+        TransactionID="CASE WHEN o_orderstatus = 'F' THEN concat('TXN_', o_orderkey) END",
     )
 
 
 def order_details(spark: SparkSession, root: str) -> DataFrame:
-    return conform(
-        source(spark, root, "lineitem").select(
-            F.col("l_orderkey").alias("OrderID"),
-            F.col("l_partkey").alias("BookID"),
-            F.col("l_quantity").alias("Quantity"),
-            F.col("l_extendedprice").alias("Price"),
-        ),
-        S.ORDER_DETAILS,
+    return _project(
+        source(spark, root, "lineitem"), S.ORDER_DETAILS,
+        OrderID="l_orderkey", BookID="l_partkey", Quantity="l_quantity", Price="l_extendedprice",
     )
 
 
+_SHARE = "p_type IN ('ECONOMY', 'PROMO', 'SMALL')"
+_STARTED = f"date_add(DATE '{S.SEED_PROMOTION_START}', p_size)"
+
+
 def part_promotions(spark: SparkSession, root: str) -> DataFrame:
-    size = F.col("p_size")
-    percentage = F.col("p_type").isin("ECONOMY", "PROMO", "SMALL")
-    started = F.date_add(F.lit(S.SEED_PROMOTION_START).cast("date"), size)
-    return conform(
-        source(spark, root, "part").select(
-            (F.col("p_partkey") + len(S.SEED_PROMOTIONS) + 1).alias("PromotionID"),
-            F.concat(F.lit("BOOK"), F.col("p_partkey")).alias("PromotionCode"),
-            F.col("p_name").alias("PromotionName"),
-            F.col("p_type").alias("Description"),
-            F.when(percentage, "percentage").otherwise("fixed_amount").alias("DiscountType"),
-            F.when(percentage, size.cast("double")).otherwise(F.col("p_retailprice")).alias("DiscountValue"),
-            (size * 1000).alias("MinimumOrderAmount"),
-            F.when(size > 25, F.col("p_retailprice")).alias("MaximumDiscount"),
-            started.alias("StartDate"),
-            F.date_add(started, 140).alias("EndDate"),
-            (F.col("p_brand") != "Brand#13").alias("IsActive"),
-            F.when(size <= 40, size * 2).alias("UsageLimit"),
-            F.when(size == 40, F.lit(80)).otherwise(F.lit(1)).alias("UsedCount"),
-            started.cast("timestamp").alias("CreatedAt"),
-            started.cast("timestamp").alias("UpdatedAt"),
-        ),
-        S.PROMOTIONS,
+    return _project(
+        source(spark, root, "part"), S.PROMOTIONS,
+        PromotionID=f"p_partkey + {FIRST_PART_PROMOTION}",
+        PromotionCode="concat('BOOK', p_partkey)",
+        PromotionName="p_name", Description="p_type",
+        DiscountType=f"if({_SHARE}, 'percentage', 'fixed_amount')",
+        DiscountValue=f"if({_SHARE}, CAST(p_size AS DOUBLE), p_retailprice)",
+        MinimumOrderAmount="p_size * 1000",
+        MaximumDiscount="CASE WHEN p_size > 25 THEN p_retailprice END",
+        StartDate=_STARTED, EndDate=f"date_add({_STARTED}, 140)",
+        IsActive="p_brand <> 'Brand#13'",
+        UsageLimit="CASE WHEN p_size <= 40 THEN p_size * 2 END",
+        UsedCount="if(p_size = 40, 80, 1)",
+        CreatedAt=_STARTED, UpdatedAt=_STARTED,
     )
 
 
@@ -154,51 +135,39 @@ def promotions(spark: SparkSession, root: str) -> DataFrame:
 
 def promotion_targets(spark: SparkSession, root: str) -> DataFrame:
     """One or two targets per part campaign, depending on the part's type."""
-    part = source(spark, root, "part")
-    first = F.when(F.col("p_type").isin("ECONOMY", "STANDARD"), "product").when(
-        F.col("p_type") == "PROMO", "customer").when(
-        F.col("p_type") == "SMALL", "category").otherwise("all")
-    second = F.when(F.col("p_type") == "ECONOMY", "all").when(
-        F.col("p_type") == "LARGE", "product")
-    numbered = part.select(
-        (F.col("p_partkey") + len(S.SEED_PROMOTIONS) + 1).alias("PromotionID"),
-        F.col("p_partkey"),
-        F.posexplode(F.array(first, second)).alias("pos", "TargetType"),
-    ).filter("TargetType IS NOT NULL")
-    derived = numbered.select(
-        (F.col("PromotionID") * 2 + F.col("pos")).alias("TargetID"),
-        "PromotionID",
-        "TargetType",
-        F.when(F.col("TargetType").isin("product", "customer"), F.col("p_partkey"))
-        .alias("TargetID_Value"),
+    aims = source(spark, root, "part").selectExpr("p_partkey", """posexplode(CASE p_type
+        WHEN 'ECONOMY' THEN array('product', 'all') WHEN 'LARGE' THEN array('all', 'product')
+        WHEN 'STANDARD' THEN array('product') WHEN 'PROMO' THEN array('customer')
+        WHEN 'SMALL' THEN array('category') ELSE array('all') END) AS (pos, aim)""")
+    derived = _project(
+        aims, S.PROMOTION_TARGETS,
+        TargetID=f"(p_partkey + {FIRST_PART_PROMOTION}) * 2 + pos",
+        PromotionID=f"p_partkey + {FIRST_PART_PROMOTION}",
+        TargetType="aim",
+        TargetID_Value="CASE WHEN aim IN ('product', 'customer') THEN p_partkey END",
     )
-    return seeds.promotion_targets(spark).unionByName(conform(derived, S.PROMOTION_TARGETS))
+    return seeds.promotion_targets(spark).unionByName(derived)
 
 
 def promotion_usage(spark: SparkSession, root: str) -> DataFrame:
     used = orders(spark, root).filter("PromotionID IS NOT NULL")
-    return conform(
-        used.select(
-            F.col("OrderID").alias("UsageID"), "PromotionID", "OrderID", "CustomerID",
-            "DiscountAmount", F.col("OrderDate").cast("timestamp").alias("UsedAt"),
-        ),
-        S.PROMOTION_USAGE,
+    return _project(
+        used, S.PROMOTION_USAGE,
+        UsageID="OrderID", PromotionID="PromotionID", OrderID="OrderID", CustomerID="CustomerID",
+        DiscountAmount="DiscountAmount", UsedAt="OrderDate",
     )
 
 
 def payment_methods_in_use(spark: SparkSession, root: str) -> DataFrame:
     """The methods that occur among the orders, named by their priority text."""
-    priority = F.col("o_orderpriority")
-    found = source(spark, root, "orders").select(priority).distinct()
-    return conform(
-        found.select(
-            F.substring(priority, 1, 1).alias("PaymentMethodID"),
-            F.substring(priority, 3, 40).alias("MethodName"),
-            priority.alias("Description"),
-            (priority != "4-NOT SPECIFIED").alias("IsActive"),
-            F.lit(f"{S.SEED_PROMOTION_START} 00:00:00").alias("CreatedAt"),
-        ),
-        S.PAYMENT_METHODS,
+    found = source(spark, root, "orders").select("o_orderpriority").distinct()
+    return _project(
+        found, S.PAYMENT_METHODS,
+        PaymentMethodID="substring(o_orderpriority, 1, 1)",
+        MethodName="substring(o_orderpriority, 3)",
+        Description="o_orderpriority",
+        IsActive="o_orderpriority <> '4-NOT SPECIFIED'",
+        CreatedAt=f"DATE '{S.SEED_PROMOTION_START}'",
     )
 
 

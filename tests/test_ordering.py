@@ -137,9 +137,10 @@ def test_running_sums_in_buckets(spark):
 def test_no_demand_and_plenty(spark):
     schema = S._struct("OrderID long, Kind int, Quantity long")
     capacity = frame(spark, S._struct("Kind int, Capacity long"), {"Kind": 1, "Capacity": 5})
-    served = allocate(frame(spark, schema), capacity, ["Kind"], Scratch(spark, "test"))
+    nobody = frame(spark, schema)
+    served = allocate(nobody, nobody, capacity, ["Kind"], Scratch(spark, "test"))
     assert served.rounds == 0 and rows(served.granted) == []
     plenty = frame(spark, schema, {"OrderID": 1, "Kind": 1, "Quantity": 2}, {"OrderID": 2, "Kind": 1, "Quantity": 3})
-    served = allocate(plenty, capacity, ["Kind"], Scratch(spark, "test"))
+    served = allocate(plenty, plenty, capacity, ["Kind"], Scratch(spark, "test"))
     assert served.rounds == 0 and sorted(rows(served.granted)) == [(1,), (2,)]
     assert rows(served.shortages()) == []
