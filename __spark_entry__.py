@@ -195,16 +195,15 @@ def _payment_updates(spark: SparkSession, root: str) -> DataFrame:
     return state.apply_payments(t.orders, events)
 
 
-def _event_stream(spark: SparkSession, root: str) -> DataFrame:
-    schema = star.SOURCE["events"]
-    return spark.readStream.schema(schema).parquet(f"{root}/events*.parquet")
+def _stream(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.readStream.schema(star.SOURCE[name]).parquet(f"{root}/{name}*.parquet")
 
 
 def _streamed_sales(spark: SparkSession, root: str) -> DataFrame:
     """The trends after the stream has caught up with all stored events."""
     scratch = Scratch(spark, "stream-sales")
     log = intake.BatchLog(spark, scratch.path)
-    trends = sales.daily_sales(B.purchases(_event_stream(spark, root)))
+    trends = sales.daily_sales(B.purchases(_stream(spark, root, "events")))
     trends = trends.drop("DailyCustomers")
     query = intake.run(
         trends, lambda df, n: log.write("trends", n, df), f"{scratch.path}/progress", "complete"
@@ -217,7 +216,7 @@ def _streamed_payments(spark: SparkSession, root: str) -> DataFrame:
     """The orders after the stream has caught up with all stored payment events."""
     scratch = Scratch(spark, "stream-payments")
     log = intake.BatchLog(spark, scratch.path)
-    folds = intake.folded_payments(B.payment_events(_event_stream(spark, root)))
+    folds = intake.folded_payments(B.payment_events(_stream(spark, root, "events")))
     query = intake.run(folds, intake.payment_intake(log), f"{scratch.path}/progress", "update")
     query.awaitTermination()
     orders_now = star.orders(spark, root)
@@ -225,6 +224,35 @@ def _streamed_payments(spark: SparkSession, root: str) -> DataFrame:
     return intake.orders_with_payments(log, orders_now, folds.schema, last)
 
 
+def _streamed_checks(spark: SparkSession, root: str) -> DataFrame:
+    scratch = Scratch(spark, "stream-checks")
+    log = intake.BatchLog(spark, scratch.path)
+    drafts = B.draft_headers(B.request_headers(_stream(spark, root, "orders")))
+    lines = B.draft_lines(B.request_lines(spark, root))
+    step = intake.order_checks(log, intake.with_stored_lines(lines))
+    query = intake.run(drafts, step, f"{scratch.path}/progress")
+    query.awaitTermination()
+    schema = validation.validate_orders(*B.draft_orders(spark, root)).schema
+    return log.read("judged", schema, -1, query.lastProgress["batchId"] + 1).select("OrderID", "Reason")
+
+
+def _streamed_intake(spark: SparkSession, root: str) -> DataFrame:
+    scratch = Scratch(spark, "stream-intake")
+    log = intake.BatchLog(spark, scratch.path)
+    headers = B.request_headers(_stream(spark, root, "orders"))
+    step = intake.order_intake(
+        log, star.star_tables(spark, root), PROMOTION_AS_OF,
+        split=intake.with_stored_lines(B.request_lines(spark, root)),
+    )
+    query = intake.run(headers, step, f"{scratch.path}/progress")
+    query.awaitTermination()
+    decided = T.StructType([
+        T.StructField("OrderID", T.LongType()), T.StructField("Accepted", T.BooleanType()),
+        T.StructField("Reason", T.StringType()),
+    ])
+    return log.read("decisions", decided, -1, query.lastProgress["batchId"] + 1).drop("batch")
+
+
 def _order_drafts(spark: SparkSession, root: str) -> DataFrame:
     return _reasons(validation.validate_orders(*B.draft_orders(spark, root)), "OrderID")
 
@@ -362,6 +390,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # streams
     "stream_sales_trends": _streamed_sales,
     "stream_payment_state": _streamed_payments,
+    "stream_validate_orders": _streamed_checks,
+    "stream_take_orders": _streamed_intake,
 }
 
 

@@ -87,44 +87,49 @@ def promotion_requests(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def order_requests(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Stored orders sent in once more: headers and lines."""
-    priority = F.col("o_orderpriority")
-    code = F.when(priority == "1-URGENT", F.concat(F.lit("BOOK"), F.col("o_custkey"))).when(
-        priority == "2-HIGH", "SAVE20").when(
-        priority == "4-NOT SPECIFIED", "welcome10").when(priority == "5-LOW", "")
-    method = F.when(priority == "5-LOW", 9).when(
-        priority != "3-MEDIUM", F.substring(priority, 1, 1).cast("int"))
-    headers = source(spark, root, "orders").select(
-        F.col("o_orderkey").alias("OrderID"),
-        F.col("o_custkey").alias("CustomerID"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("OrderDate"),
-        code.alias("PromotionCode"),
-        method.alias("PaymentMethodID"),
-        F.col("o_totalprice").cast(S.MONEY).alias("TotalAmount"),
+def request_headers(orders: DataFrame) -> DataFrame:
+    """Orders of the star schema, stored or streamed, as requests."""
+    return orders.selectExpr(
+        "o_orderkey AS OrderID",
+        "o_custkey AS CustomerID",
+        "date_format(o_orderdate, 'yyyy-MM-dd') AS OrderDate",
+        """CASE o_orderpriority WHEN '1-URGENT' THEN concat('BOOK', o_custkey)
+           WHEN '2-HIGH' THEN 'SAVE20' WHEN '4-NOT SPECIFIED' THEN 'welcome10'
+           WHEN '5-LOW' THEN '' END AS PromotionCode""",
+        """CASE WHEN o_orderpriority = '5-LOW' THEN 9 WHEN o_orderpriority <> '3-MEDIUM'
+           THEN CAST(substring(o_orderpriority, 1, 1) AS INT) END AS PaymentMethodID""",
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS TotalAmount",
     )
-    lines = source(spark, root, "lineitem").select(
-        F.col("l_orderkey").alias("OrderID"),
-        F.col("l_linenumber").alias("Position"),
-        F.col("l_partkey").alias("BookID"),
-        F.col("l_quantity").cast("int").alias("Quantity"),
-        F.col("l_extendedprice").cast(S.MONEY).alias("Price"),
+
+
+def request_lines(spark: SparkSession, root: str) -> DataFrame:
+    return source(spark, root, "lineitem").selectExpr(
+        "l_orderkey AS OrderID", "l_linenumber AS Position", "l_partkey AS BookID",
+        "CAST(l_quantity AS INT) AS Quantity", "CAST(l_extendedprice AS DECIMAL(18,2)) AS Price",
     )
-    return headers, lines
 
 
-def draft_orders(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Order requests with gaps: dates missing, totals and line values too low."""
-    headers, lines = order_requests(spark, root)
+def order_requests(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Stored orders sent in once more: headers and lines."""
+    return request_headers(source(spark, root, "orders")), request_lines(spark, root)
+
+
+def draft_headers(headers: DataFrame) -> DataFrame:
+    """Requests with gaps: dates missing and totals too low."""
     low = F.col("PaymentMethodID") == 9
-    headers = headers.withColumns({
+    return headers.withColumns({
         "OrderDate": F.when(low, F.lit("")).otherwise(F.col("OrderDate")),
         "TotalAmount": F.col("TotalAmount") - 20000,
     })
-    lines = lines.withColumns(
-        {"Quantity": F.col("Quantity") - 1, "Price": F.col("Price") - 1500}
-    )
-    return headers, lines
+
+
+def draft_lines(lines: DataFrame) -> DataFrame:
+    return lines.withColumns({"Quantity": F.col("Quantity") - 1, "Price": F.col("Price") - 1500})
+
+
+def draft_orders(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    headers, lines = order_requests(spark, root)
+    return draft_headers(headers), draft_lines(lines)
 
 
 def promotion_uses(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

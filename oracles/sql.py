@@ -923,3 +923,5 @@ _add("take_orders_stock", _BOOK,
 
 for _name in ("take_orders", "take_orders_stock"):
     _ORACLES[_name] = _ORACLES[_name].replace("WITH", "WITH RECURSIVE", 1)
+_ORACLES["stream_validate_orders"] = _ORACLES["validate_orders"]
+_ORACLES["stream_take_orders"] = _ORACLES["take_orders"]
