@@ -72,3 +72,19 @@ def test_range_of_orders_is_pushed_down(spark):
     t = star.star_tables(spark, ROOT)
     text = plan(orders.orders_between(t, dt.date(1998, 1, 1), dt.date(1998, 12, 31)))
     assert "GreaterThanOrEqual(o_orderdate,1998-01-01T00:00)" in text
+
+
+def test_rows_without_promotion_are_spread(spark):
+    """Most orders have no promotion: their join key must not be one and the same null."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(entry.queries()["order_list"](spark, ROOT))
+        assert re.search(r"SortMergeJoin \[_key#\d+L?\], \[_key#\d+L?\], LeftOuter", text)
+        assert re.search(r"coalesce\(PromotionID#\d+L, \(-1 - OrderID#\d+L\)\) AS _key", text)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_book_is_summed_before_the_shuffle(spark):
+    text = plan(entry.queries()["dash_genre"](spark, ROOT))
+    assert re.search(r"HashAggregate\(keys=\[BookID#\d+L\], functions=\[partial_count", text)
