@@ -38,15 +38,15 @@ def latest_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def lookup(df: DataFrame, dim: DataFrame, key: str, absent: Column) -> DataFrame:
-    """Left join ``dim`` on a key that is often null.
+def lookup(df: DataFrame, dim: DataFrame, key: str, absent: Column, *others: str) -> DataFrame:
+    """Left join ``dim`` on ``key`` (and ``others``) where the key is often null.
 
     Rows without a key match nothing, yet a plain join would send all of them
     to one task.  They join on ``absent`` instead: a value of their own that no
     row of ``dim`` has.
     """
     keyed = df.withColumn("_key", F.coalesce(F.col(key), absent))
-    return keyed.join(dim.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+    return keyed.join(dim.withColumnRenamed(key, "_key"), ["_key", *others], "left").drop("_key")
 
 
 def having_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

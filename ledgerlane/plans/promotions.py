@@ -137,7 +137,8 @@ def validate_promotions(
     ).distinct()
     asked = judged.filter("PromotionID IS NOT NULL")
     elsewhere = failing_targets(t, asked, lines).withColumn("_aim", F.lit(True))
-    judged = judged.join(earlier, ["PromotionID", "CustomerID"], "left").join(
+    no_promotion = -1 - F.col("OrderID")
+    judged = lookup(judged, earlier, "PromotionID", no_promotion, "CustomerID").join(
         elsewhere, "OrderID", "left"
     )
     reason = V.first_failure([

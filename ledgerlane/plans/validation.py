@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane import schema as S
 from ledgerlane.functions.values import blank, first_failure, numeric
-from ledgerlane.operators.relational import lacking_key
+from ledgerlane.operators.relational import lacking_key, lookup
 
 _LINE_REASONS = ("item_without_book", "bad_item_quantity", "bad_item_price")
 
@@ -173,7 +173,8 @@ def unique_conflicts(
     named = batch.withColumn("_value", F.lower(value))
     first = named.groupBy("_value").agg(F.min(arrival).alias("_first"))
     own = F.coalesce(F.col(key), F.lit(-1))
-    joined = named.join(stored, "_value", "left").join(first, "_value", "left")
+    no_value = F.concat(F.lit("\0"), F.col(arrival).cast("string"))
+    joined = lookup(lookup(named, stored, "_value", no_value), first, "_value", no_value)
     reason = first_failure([
         ((F.col("_low") != own) | (F.col("_high") != own), f"{value}_taken"),
         (F.col(arrival) > F.col("_first"), f"{value}_repeated"),
