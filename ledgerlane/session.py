@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Settings every job here relies on.  The rest (executors, memory, the number
 #: of shuffle partitions) belongs to the cluster that runs the job.
@@ -57,6 +58,9 @@ class Scratch:
         self.path = f"{checkpoint_root(spark)}/{job}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        target = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(target)
-        return self.spark.read.schema(df.schema).parquet(target)
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.load(name, df.schema)
+
+    def load(self, names: str, schema: T.StructType) -> DataFrame:
+        """One saved table, or several of the same schema given by a pattern."""
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{names}")
