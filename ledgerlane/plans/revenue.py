@@ -113,9 +113,6 @@ def dashboard_document(t: Tables, as_of: dt.datetime) -> DataFrame:
     return _as_json(full_dashboard(t, as_of))
 
 
-TOP_FIVE = ("topBooks", "topCustomers", "lowStockBooks", "supplierStats", "genreStats")
-
-
 def top_views(t: Tables, as_of: dt.datetime, k: int = 5, months: int = 6) -> dict[str, DataFrame]:
     """The short lists shown first: five entries each, six months."""
     by_revenue = "-TotalRevenue"

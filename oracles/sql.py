@@ -723,12 +723,10 @@ _add("upsert_customers", _CUSTOMER, _merged("customers", "CustomerID", "changed"
       CASE WHEN o_orderstatus <> 'O' THEN lower(o_orderpriority) END AS Email,
       CAST(o_orderkey AS VARCHAR) AS Phone
     FROM main.orders
-    QUALIFY row_number() OVER (PARTITION BY 1 ORDER BY 1) >= 0
-      AND row_number() OVER (
+    QUALIFY row_number() OVER (
         PARTITION BY o_custkey + CASE WHEN o_orderstatus = 'P' THEN {FAR} ELSE 0 END
         ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
-""".replace("""row_number() OVER (PARTITION BY 1 ORDER BY 1) >= 0
-      AND """, ""))
+""")
 _add("upsert_suppliers", _SUPPLIER, _merged("suppliers", "SupplierID", "changed", {}, _SUPPLIER), f"""
   changed AS (
     SELECT l_suppkey + CASE WHEN l_returnflag = 'A' THEN {FAR} ELSE 0 END AS SupplierID,
