@@ -24,6 +24,14 @@ from ledgerlane.streaming import orders as intake
 from ledgerlane.streaming import sales
 from oracles.sql import oracle_sql as _oracle_sql
 
+try:
+    from ledgerlane.llm import queries as text_queries
+except ModuleNotFoundError as missing:
+    # Only the absence of the package itself, or of the pipeline that goes with it, is accepted.
+    if missing.name not in ("ledgerlane.llm", "ledgerlane.llm.queries", "corpus_pipeline"):
+        raise
+    text_queries = None
+
 SALES_AS_OF = dt.datetime(2001, 8, 1, 12)
 PROMOTION_AS_OF = dt.datetime(2024, 6, 15, 12)
 RANGE = (dt.date(1998, 1, 1), dt.date(1998, 12, 31))
@@ -403,8 +411,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def plain(run):
         return lambda spark, root: comparable(run(spark, root))
 
-    return {name: plain(run) for name, run in _QUERIES.items()}
+    shop = {name: plain(run) for name, run in _QUERIES.items()}
+    return shop | (text_queries.QUERIES if text_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracle_sql()
+    return _oracle_sql() | (text_queries.ORACLES if text_queries else {})

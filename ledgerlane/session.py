@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +18,6 @@ SESSION_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
-_local_roots: dict[str, str] = {}
-
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in SESSION_CONF.items():
@@ -29,21 +26,13 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The shared folder for intermediate tables: the one that ``spark.checkpoint.dir`` names.
 
-    On a cluster the folder is the one named in ``spark.checkpoint.dir``.  Only
-    a ``local`` session, where every task sees the same disk, may fall back to
-    a temporary folder.
+    Where that is unset, as in a local trial, it is the context's checkpoint folder, or else a folder in the warehouse,
+    which every task sees as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="ledgerlane-")
-    return _local_roots[app]
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
 class Scratch:
@@ -61,6 +50,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.load(name, df.schema)
 
+    def drop(self) -> None:
+        """Deletes what the run has written, once nothing reads it any more."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def load(self, names: str, schema: T.StructType) -> DataFrame:
         """One saved table, or several of the same schema given by a pattern."""
         return self.spark.read.schema(schema).parquet(f"{self.path}/{names}")
