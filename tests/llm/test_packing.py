@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from texts import SMALL, documents
+from tokenizers import Tokenizer
+
+from ledgerlane.llm.packing import Limits, best_fit, packed, pieces, token_ids
+from ledgerlane.llm.queries import byte_vocabulary
+from ledgerlane.llm.tables import read, scratch
+
+V = byte_vocabulary()
+
+
+def check(rows, result, most=2048):
+    """Every document whole, every sequence gapless and within its limit; the number of sequences."""
+    whole = Tokenizer.from_file(V.json)
+    ids = {i: np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in rows}
+    by_doc, by_sequence = {}, {}
+    for r in result:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    assert set(by_doc) == set(ids)
+    for doc, own in by_doc.items():
+        own.sort(key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own)))
+        assert len(own) == -(-len(ids[doc]) // most)
+        at = 0
+        for r in own:
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[doc][at:at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids[doc]) and all(r.length == most for r in own[1:])
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= most
+    return len(by_sequence), -(-sum(map(len, ids.values())) // most)
+
+
+def test_whole_small_table(spark):
+    docs = read(spark, SMALL, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    used, least = check(rows, packed(docs, V, Limits(), scratch(spark, "t")).collect())
+    assert used <= least * 1.02 + 1
+
+
+def test_edge_texts(spark):
+    rows = [
+        (1, None), (2, ""), (3, "<|endoftext|> inside <|endoftext|>"), (4, "word " * 9000), (5, " " * 5000), (6, "x" * 300_000),
+        (7, "a\r\n　b"), (8, "tie"), (9, "tie"), (10, "日本🙂"),
+    ]
+    docs = documents(spark, rows, extra="piece sequence_id group row")
+    check(rows, packed(docs, V, Limits(), scratch(spark, "t")).collect())
+
+
+def test_null_and_repeated_ids_and_no_rows(spark):
+    docs = documents(spark, [(None, "a"), (None, "a"), (1, "b"), (1, "b")])
+    got = packed(docs, V, Limits(), scratch(spark, "t")).collect()
+    assert len(got) == 4 and {(r.sequence_id, r.offset) for r in got} == {(0, 0), (0, 2), (0, 4), (0, 6)}
+    assert packed(documents(spark, []), V, Limits(), scratch(spark, "t")).count() == 0
+
+
+def test_ids_of_pieces(spark):
+    made = pieces(documents(spark, [(1, "one two three four")]), V, 2, with_ids=True).collect()
+    ids = [i for r in sorted(made, key=lambda r: r.piece) for i in r.ids]
+    assert ids == [*token_ids("one two three four", V).tolist(), 0] and [len(r.ids) for r in made] == [1, 2, 2]
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_every_constraint_holds(rule):
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 900, 3000)
+    limits = Limits(1000, 4, 600_000, (1.0, 0.2, 0.5), rule)
+    sequence, offset = best_fit(lengths, limits)
+    for s in np.unique(sequence):
+        own = lengths[sequence == s]
+        assert own.sum() <= 1000 and len(own) <= 4
+        assert (own ** 2).sum() <= 600_000 or len(own) == 1
+    assert len(np.unique(sequence)) < 1.2 * max(lengths.sum() / 1000, (lengths ** 2).sum() / 600_000)
+
+
+def test_groups_waste_little():
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(2047, rng.lognormal(6, 1, 8192).astype(int) + 1)
+    sequence, _ = best_fit(lengths, Limits())
+    assert sequence.max() + 1 <= -(-lengths.sum() // 2048) + 1

@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+from texts import SMALL, collected
+
+from ledgerlane.llm import search
+from ledgerlane.llm.tables import read
+
+
+def brute(rows, k=5, every=50):
+    whole = {}
+    for i, x in rows:
+        if i is not None and x and all(c is not None and math.isfinite(c) for c in x):
+            whole.setdefault(i, [math.floor(256 * float(c)) for c in x])
+    out = []
+    for q, x in whole.items():
+        if q % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c)
+                            for c, y in whole.items() if c != q and len(y) == len(x))
+            out += [(q, n, c, -s) for n, (s, c) in enumerate(scores[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def answers(df, k=5, every=50):
+    return collected(
+        search.top_k(search.scaled(df, 256), F.col("vec_id") % every == 0, k), "query_id", "rank", "vec_id", "score")
+
+
+def test_whole_small_table(spark):
+    df = read(spark, SMALL, "embeddings")
+    assert answers(df) == brute([(r.vec_id, r.embedding) for r in df.collect()])
+
+
+def test_ties_hot_vectors_nulls_and_odd_lengths(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=20).tolist()) for i in range(300)]
+    rows += [(i, rows[7][1]) for i in range(300, 420)]
+    rows += [(501, None), (502, [None] * 20), (503, [float("nan")] * 20), (504, [float("inf")] * 20), (505, []), (None, [1.0] * 20)]
+    rows += [(600, [1.0, 2.0]), (601, [3.0, -1.0]), (602, [0.5, 0.5]), (700, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("vector", F.lit("x"))
+    assert answers(df, every=10) == brute(rows, every=10)
+
+
+def test_large_numbers_and_no_rows(spark):
+    rows = [(0, [1e6, 2.5]), (1, [-3e6, 1.0]), (2, [1e6, 2.0]), (3, [1e6, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert answers(df) == brute(rows)
+    assert answers(df.where("vec_id < 0")) == []
+
+
+def test_bounds_never_fall_below_products():
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(50, 37)) + 0.3, rng.normal(size=(80, 37))
+    for parts in search.levels(37):
+        assert (search.statistics(a, parts) @ search.statistics(b, parts).T >= a @ b.T - 1e-9).all()
+
+
+def test_candidate_blocks_of_any_size():
+    rng = np.random.default_rng(6)
+    ids, x = np.arange(500), rng.integers(-300, 300, (500, 16))
+    for q, found, scores in search.best_of_block(ids[:20], x[:20], ids, x, 7):
+        exact = sorted((-int(x[q] @ x[c]), c) for c in range(500) if c != q)[:7]
+        assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == exact

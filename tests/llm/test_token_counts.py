@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from texts import SMALL, collected, documents
+
+from ledgerlane.llm.tables import read
+from ledgerlane.llm.token_counts import PrefixCounter, longest_within, prefix_counts, tokens_at
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def model():
+    return sentencepiece.SentencePieceProcessor(model_file=PATH)
+
+
+@pytest.fixture(scope="module")
+def own():
+    return PrefixCounter(PATH)
+
+
+def counts(own, text):
+    return np.cumsum(np.frombuffer(own.prefix_steps(text), np.int8), dtype=np.int64).tolist()
+
+
+@pytest.mark.parametrize("text", [
+    "", " ", "   ", "a", " a", "  leading and trailing  ", "a  b   c", "line\nline\r\n\ttab", "▁ ▁a▁", "日本語 ﬁ Å",
+    "🙂🙂 emoji", "<s> </s> <unk> <0x0A>", "x" * 100, ".,.,!!! ???", "e-mail: a.b@c.de, 1,234.56", "　wide space",
+])
+def test_every_prefix_has_the_models_count(model, own, text):
+    assert counts(own, text) == [len(model.encode(text[:i])) for i in range(1, len(text) + 1)]
+
+
+def test_random_texts(model, own):
+    rng = random.Random(4)
+    parts = ["th", "er", " ", "  ", "\n", "tion", "É", "é", "ü", ".", ",", "(", ")", "123", "the", "▁", "<s>", "日", "\x00"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        assert counts(own, text) == [len(model.encode(text[:i])) for i in range(1, len(text) + 1)], text
+
+
+def test_forgetting_changes_nothing(model, monkeypatch):
+    monkeypatch.setattr("ledgerlane.llm.token_counts.REMEMBERED", 40)
+    small = PrefixCounter(PATH)
+    text = " ".join(f"word{i % 90} and others." for i in range(300))
+    assert counts(small, text)[-1] == len(model.encode(text))
+
+
+def test_whole_small_table(spark, model):
+    docs = read(spark, SMALL, "documents")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in prefix_counts(docs, PATH).collect()}
+    want = {r.doc_id: (len((r.text or "").encode()), len(model.encode(r.text or ""))) for r in docs.collect()}
+    assert got == want
+
+
+def test_nulls_repeats_long_texts_and_no_rows(spark, model):
+    long = "unbroken" * 20_000
+    rows = [(1, None), (2, ""), (None, "hello world"), (3, "a"), (3, "a"), (4, long)]
+    got = prefix_counts(documents(spark, rows, extra="n_tokens prefix_steps"), PATH)
+    assert collected(got, "doc_id", "n_bytes", "n_tokens") == sorted(
+        [(1, 0, 0), (2, 0, 0), (None, 11, len(model.encode("hello world"))), (3, 1, 1), (3, 1, 1), (4, 160_000, len(model.encode(long)))], key=repr)
+    assert prefix_counts(documents(spark, []), PATH).count() == 0
+
+
+def test_truncation_and_budget(spark, model):
+    text = "Truncation questions, answered without encoding again."
+    got = prefix_counts(documents(spark, [(1, text), (2, None)]), PATH)
+    asked = got.select("doc_id", tokens_at(F.lit(10)).alias("at"), longest_within(F.lit(5)).alias("within"))
+    exact = [len(model.encode(text[:i])) for i in range(len(text) + 1)]
+    within = max(i for i, n in enumerate(exact) if n <= 5)
+    assert collected(asked, "doc_id", "at", "within") == [(1, exact[10], within), (2, 0, 0)]
