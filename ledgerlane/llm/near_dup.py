@@ -9,10 +9,9 @@ Work per bucket is kept linear without losing links:
 1. Texts with the same set are one node from the start.
 2. Every node of a bucket is compared with the bucket's hub, the node that meets most others over all its bands.
    In a family of copies that is the original or what is closest to it.
-3. What is connected by these links needs no more comparing.  Of the other pairs of a bucket, only those are
-   compared in which a node outside the bucket's main component takes part and which set sizes allow.  In buckets of
-   more than ``crowd`` nodes the sizes count only shingles that some other node of a crowded bucket has as well: a
-   shingle of one node alone can't be shared, so no pair is lost.
+3. What is connected by these links needs no more comparing.  Of the other pairs of a bucket, those are compared
+   that can be links: in small buckets by their sizes, in buckets of more than ``crowd`` nodes by how their sets
+   differ from the hub's, which in a family of copies is little.  Both rules only leave out pairs that are no links.
 4. Components of all confirmed links.
 """
 
@@ -25,7 +24,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.components import components
@@ -134,8 +133,65 @@ def _size_class(n):
     return F.floor(F.log(n.cast("double")) * 50).cast("int")
 
 
-def _open_pairs(met: DataFrame, labels: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs of each bucket that are not yet connected and that their sizes allow."""
+def _few(entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs of small buckets that their sizes allow, by classes of size."""
+    p = percent
+    seekers = entries.where("label != main").select(
+        "key", F.col("node").alias("u"), F.col("label").alias("label_u"), F.col("size").alias("size_u"),
+        F.explode(F.sequence(
+            _size_class(F.ceil(F.col("size") * p / 100)), _size_class(F.floor(F.col("size") * 100 / p)))).alias("class"),
+    )
+    sought = entries.select(
+        "key", F.col("node").alias("v"), F.col("label").alias("label_v"), F.col("size").alias("size_v"), "main",
+        _size_class(F.col("size")).alias("class"),
+    )
+    fits = 100 * F.least("size_u", "size_v") >= p * F.greatest("size_u", "size_v")
+    other = (F.col("label_u") != F.col("label_v")) & ((F.col("label_v") == F.col("main")) | (F.col("u") < F.col("v")))
+    return seekers.join(sought, ["key", "class"]).where(fits & other).select("u", "v")
+
+
+def _many(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of crowded buckets that can still be links, by how their sets differ from one common set, the hub's.
+
+    The hub is here the node that meets most others in the bucket's main component, so that a family of copies has one.
+    With d of the hub's h shingles missing and u others instead, a node weighs w = (100 d + p u) / (100 + p), and two
+    nodes are a link only if their differences share w + w' - h (100 - p) / (100 + p) shingles or more.  So only pairs
+    that share one of their rarest differences, with enough others behind it, need comparing, and one of the two isn't
+    linked with the hub.
+    """
+    p = percent
+    own = sets.select("node", F.col("set").alias("own"))
+    hubs = sets.select(F.col("node").alias("hub"), F.col("set").alias("common"))
+    apart = (
+        entries.select("node", "hub", "label", "size").distinct().join(own, "node").join(hubs, "hub")
+        .select("node", "hub", "label", "size", F.size("common").alias("h"),
+                F.array_except("common", "own").alias("missing"), F.array_except("own", "common").alias("instead"))
+        .withColumn("w", 100 * F.size("missing") + p * F.size("instead"))  # weights times 100 + p, in whole numbers
+        .withColumn("over", F.col("w") - F.col("h") * (100 - p))
+        .select("node", "hub", "label", "size", "h", "w", "over", F.concat("missing", "instead").alias("parts"))
+        .select("*", F.size("parts").alias("n"), F.explode("parts").alias("part")).drop("parts")
+    )
+    frequent = apart.groupBy("hub", "part").agg(
+        F.count("*").alias("often"), F.min("label").alias("l1"), F.max("label").alias("l2"))
+    rarest = Window.partitionBy("hub", "node").orderBy("often", "part")
+    placed = apart.join(frequent, ["hub", "part"]).withColumn("place", F.row_number().over(rarest)).where("l1 != l2")
+    seekers = placed.where("over > 0").where(F.col("place") <= F.col("n") + 1 - F.ceil(F.col("over") / (100 + p)))
+    sought = placed.where(F.col("place") <= F.col("n") - F.floor(F.col("w") / (100 + p)))
+    side = lambda rows, name: rows.select(
+        "hub", "part", F.col("node").alias(name), "h", *(F.col(c).alias(f"{c}_{name}") for c in ("label", "size", "w", "n", "place"))
+    )
+    pairs = side(seekers, "u").join(side(sought, "v").drop("h"), ["hub", "part"])
+    fits = 100 * F.least("size_u", "size_v") >= p * F.greatest("size_u", "size_v")
+    # the first difference that a pair shares leaves so many at most that it can share
+    rest = 1 + F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v"))
+    enough = (100 + p) * rest >= F.col("w_u") + F.col("w_v") - F.col("h") * (100 - p)
+    return pairs.where((F.col("label_u") != F.col("label_v")) & fits & enough).select("u", "v")
+
+
+def _open_pairs(
+    met: DataFrame, fame: DataFrame, labels: DataFrame, sets: DataFrame, settings: Settings,
+) -> DataFrame:
+    """The pairs of each bucket that are not yet connected and that can be links."""
     known = labels.select("node", F.col("component").alias("label"))
     entries = met.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
     shares = entries.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -144,40 +200,13 @@ def _open_pairs(met: DataFrame, labels: DataFrame, sets: DataFrame, settings: Se
         F.count("*").alias("labels"),
     ).where("labels > 1").select("key", "most.main", "members")
     entries = entries.join(buckets, "key")
-
-    crowded = entries.where(F.col("members") > settings.crowd).select("node").distinct()
-    shingles = sets.join(crowded, "node").select("node", F.explode("set").alias("shingle"))
-    lone = (
-        shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-        .where("n = 1").groupBy("node").agg(F.count("*").alias("lone"))
-    )
-    p = settings.percent
-    entries = (
-        entries.join(lone, "node", "left")
-        # at most so many shingles are shared in a bucket of this size
-        .withColumn("most", F.col("size") - F.when(
-            F.col("members") > settings.crowd, F.coalesce("lone", F.lit(0))).otherwise(0))
-    )
-    # inter >= p / (100 + p) * (a + b) for a link, and inter <= most
-    least = F.ceil(F.col("size") * p / 100)
-    greatest = F.least(F.floor(F.col("size") * 100 / p), F.floor(F.col("most") * (100 + p) / p) - F.col("size"))
-    seekers = (
-        entries.where("label != main").withColumn("least", least).withColumn("greatest", greatest)
-        .where("least <= greatest")
-        .select(
-            "key", F.col("node").alias("u"), F.col("label").alias("label_u"), F.col("size").alias("size_u"),
-            F.col("most").alias("most_u"),
-            F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("greatest")))).alias("class"),
-        )
-    )
-    sought = entries.select(
-        "key", F.col("node").alias("v"), F.col("label").alias("label_v"), F.col("size").alias("size_v"),
-        F.col("most").alias("most_v"), "main", _size_class(F.col("size")).alias("class"),
-    )
-    fits = (100 + p) * F.least("most_u", "most_v") >= p * (F.col("size_u") + F.col("size_v"))
-    other = (F.col("label_u") != F.col("label_v")) & ((F.col("label_v") == F.col("main")) | (F.col("u") < F.col("v")))
-    pairs = seekers.join(sought, ["key", "class"]).where(fits & other)
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    few = _few(entries.where(F.col("members") <= settings.crowd), settings.percent)
+    leads = fame.join(labels, "node").groupBy(F.col("component").alias("main")).agg(
+        F.max(F.struct("fame", F.col("node").alias("hub"))).alias("most")).select("main", "most.hub")
+    crowds = entries.where(F.col("members") > settings.crowd).drop("hub").join(leads, "main", "left")
+    crowds = crowds.withColumn("hub", F.coalesce("hub", "main"))
+    many = _many(crowds, sets, settings.percent)
+    return few.unionByName(many).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
@@ -196,13 +225,14 @@ def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> Da
 
     entries = nodes.select("node", "size", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.save(entries.join(shared, "key"), "met")
-    fame = met.groupBy("node").agg(F.sum("n").alias("fame"))
-    hubs = met.join(fame, "node").groupBy("key").agg(
+    meetings = scratch.save(entries.join(shared, "key"), "meetings")
+    fame = scratch.save(meetings.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
+    hubs = meetings.join(fame, "node").groupBy("key").agg(
         F.max(F.struct("fame", F.col("node").alias("hub"), F.col("size").alias("hub_size"))).alias("top"))
+    met = scratch.save(meetings.join(hubs.select("key", "top.hub", "top.hub_size"), "key"), "met")
     p = settings.percent
     first = (
-        met.join(hubs.select("key", "top.hub", "top.hub_size"), "key").where("node != hub")
+        met.where("node != hub")
         .where(100 * F.least("size", "hub_size") >= p * F.greatest("size", "hub_size"))
         .select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     )
@@ -211,7 +241,7 @@ def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> Da
     links = scratch.save(_confirmed(first, sets, settings), "links")
     labels = scratch.save(components(links, scratch, "first"), "labels")
     more = scratch.save(
-        _confirmed(_open_pairs(met, labels, sets, settings), sets, settings), "more")
+        _confirmed(_open_pairs(met, fame, labels, sets, settings), sets, settings), "more")
     stars = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
     joined = components(stars.unionByName(more), scratch, "all")
 
