@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import hilbert, near_dup, packing, search, token_counts
+from ledgerlane.llm import decontaminate, hilbert, licences, near_dup, packing, personal, quality, quotes, search, token_counts
 from ledgerlane.llm.tables import read, scratch
 
 SHARDS = 24
 TOKEN_LIMIT = 4096
+QUALITY_SCORE = 0.3
 
 
 def byte_vocabulary() -> packing.Vocabulary:
@@ -21,6 +23,12 @@ def byte_vocabulary() -> packing.Vocabulary:
         path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.scored(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), quality.Settings(), QUALITY_SCORE)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = search.scaled(read(spark, sf_dir, "embeddings"), 256)
     return search.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
@@ -36,21 +44,43 @@ def op4_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(read(spark, sf_dir, "pages"), licences.Settings(), scratch(spark, "op5"))
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(
         read(spark, sf_dir, "documents"), byte_vocabulary(), packing.Limits(), scratch(spark, "op6"))
 
 
+def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(read(spark, sf_dir, "conversations"), scratch(spark, "op7"))
+
+
+def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.passages(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), decontaminate.Settings())
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), near_dup.Settings(), scratch(spark, "op9"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.personal_data(read(spark, sf_dir, "documents"), personal.Settings(), scratch(spark, "op10"))
+    return personal.digest(found)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_segment_search": op2_segment_search,
-    "op3_hilbert_shards": op3_hilbert_shards,
-    "op4_prefix_counts": op4_prefix_counts,
-    "op6_vector_packing": op6_vector_packing,
-    "op9_circulant_minhash": op9_circulant_minhash,
+    query.__name__: query for query in (
+        op1_ftrl_quality, op2_segment_search, op3_hilbert_shards, op4_prefix_counts, op5_licence_scan,
+        op6_vector_packing, op7_quotation_links, op8_cgk_decontamination, op9_circulant_minhash, op10_personal_data,
+        pipeline,
+    )
 }
 
 ORACLES: dict[str, str] = {

@@ -20,3 +20,11 @@ def scratch(spark: SparkSession, job: str) -> Scratch:
 def whole(text: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def spare(name: str, columns: list[str]) -> str:
+    """The name, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

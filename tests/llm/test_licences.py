@@ -1,0 +1,84 @@
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+
+from texts import SMALL, collected
+
+from ledgerlane.llm.licences import LICENCE_FILES, TEMPLATES, Settings, licences
+from ledgerlane.llm.tables import read, scratch
+
+
+def toks(text):
+    return [t for t in re.split(r"[^\w.]+|_|\.(?![0-9])", text.lower()) if t]
+
+
+def brute(rows, least=0.75):
+    pages = [(i, re.sub(r"\.html?$", "", re.sub(r"/+$", "", re.sub(r"[?#].*$", "", re.sub(r"^[A-Za-z][\w+.-]*://", "", u or "")))).lower(),
+              [toks(x) for x in re.split(r"<[^<>]*>|[\r\n]+", h or "") if x.strip(" ")]) for i, u, h in rows]
+    df = Counter(t for _, _, ls in pages for t in {t for x in ls for t in x})
+    n = max(1, len(pages))
+    idf = lambda t: math.log((n + 1) / (df[t] + 1)) + 1
+
+    def vector(words):
+        v = {t: c * idf(t) for t, c in Counter(words).items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / size for t, x in v.items()}
+
+    templates = {k: vector(toks(t)) for k, t in TEMPLATES.items()}
+    own = []
+    for _, _, ls in pages:
+        best = None
+        for at, words in enumerate(ls):
+            v = vector(words)
+            for k, t in templates.items():
+                c = round(sum(x * t.get(w, 0) for w, x in v.items()), 6)
+                if c >= least and (best is None or (c, -at, k) > best):
+                    best = (c, -at, k)
+        own.append(best)
+    above = {}
+    for (_, path, _), best in zip(pages, own, strict=True):
+        if best and path:
+            name = re.sub(r"\.[a-z]+$", "", path.split("/")[-1])
+            root = path.rsplit("/", 1)[0] if name in LICENCE_FILES and "/" in path else path
+            above.setdefault(root, []).append((-best[0], best[2]))
+    out = []
+    for (i, path, _), best in zip(pages, own, strict=True):
+        if best:
+            out.append((i, best[2], "own"))
+            continue
+        parts = path.split("/")
+        for k in range(len(parts), 0, -1):
+            if "/".join(parts[:k]) in above and path:
+                out.append((i, min(above["/".join(parts[:k])])[1], "inherited"))
+                break
+        else:
+            out.append((i, None, "none"))
+    return sorted(out, key=repr)
+
+
+def check(spark, df):
+    got = collected(licences(df, Settings(), scratch(spark, "t")), "page_id", "licence", "origin")
+    assert got == brute([(r.page_id, r.url, r.html) for r in df.collect()])
+
+
+def test_whole_small_table(spark):
+    check(spark, read(spark, SMALL, "pages"))
+
+
+def test_inheritance_ties_nulls_and_repeats(spark):
+    mit, gpl = "<p>Released under the MIT License.</p>", "<p>This work is licensed under the GNU General Public License, version 3.</p>"
+    rows = [
+        (1, "http://h.example/LICENSE", mit), (2, "http://h.example/a/b/page.html?x=1", "<p>text</p>"),
+        (3, "http://h.example/a/COPYING.txt", gpl), (4, "http://h.example/other", "nothing"), (5, "http://h.example/a", None),
+        (6, "http://other.example/z", "the license of the work"), (7, None, mit), (8, None, "x"), (9, "", None),
+        (10, "http://h.example/t", mit), (11, "http://h.example/t/", gpl), (12, "http://h.example/t#q", "x"), (12, "http://h.example/t#q", "x"),
+        (None, "http://h.example/a/b", "text"), (13, "http://h.example/long/" + "d/" * 200, "w " * 100_000), (14, "x", "<" * 5000),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(
+        {c: __import__("pyspark.sql.functions", fromlist=["lit"]).lit("x") for c in ("page", "path", "licence", "cosine")})
+    check(spark, df)
+    got = dict(collected(licences(df, Settings(), scratch(spark, "t")).where("page_id is not null"), "page_id", "licence"))
+    assert got[2] == "GPL-3.0" and got[4] == "MIT" and got[6] is None and got[13] == "MIT" and got[7] == "MIT"
+    assert licences(df.limit(0), Settings(), scratch(spark, "t")).count() == 0
