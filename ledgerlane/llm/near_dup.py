@@ -33,6 +33,8 @@ from ledgerlane.session import Scratch
 
 #: Places on the circle; far more than a text has shingles.
 CIRCLE = 1 << 20
+#: Parts into which the nodes of a hub are dealt where they are joined with its set.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -161,9 +163,12 @@ def _many(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     p = percent
     own = sets.select("node", F.col("set").alias("own"))
-    hubs = sets.select(F.col("node").alias("hub"), F.col("set").alias("common"))
+    entries = entries.select("node", "hub", "label", "size").distinct().withColumn("salt", F.pmod("node", F.lit(SALTS)))
+    # a hub's set is copied for each salt, so that a large family isn't one task
+    hubs = sets.join(entries.select(F.col("hub").alias("node")).distinct(), "node").select(
+        F.col("node").alias("hub"), F.col("set").alias("common"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     apart = (
-        entries.select("node", "hub", "label", "size").distinct().join(own, "node").join(hubs, "hub")
+        entries.join(own, "node").join(hubs, ["hub", "salt"])
         .select("node", "hub", "label", "size", F.size("common").alias("h"),
                 F.array_except("common", "own").alias("missing"), F.array_except("own", "common").alias("instead"))
         .withColumn("w", 100 * F.size("missing") + p * F.size("instead"))  # weights times 100 + p, in whole numbers
@@ -173,8 +178,11 @@ def _many(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     frequent = apart.groupBy("hub", "part").agg(
         F.count("*").alias("often"), F.min("label").alias("l1"), F.max("label").alias("l2"))
-    rarest = Window.partitionBy("hub", "node").orderBy("often", "part")
-    placed = apart.join(frequent, ["hub", "part"]).withColumn("place", F.row_number().over(rarest)).where("l1 != l2")
+    # Differences of one component's nodes only can't be shared by an open pair; they come first in every node's order,
+    # and only the others are joined.
+    node = Window.partitionBy("hub", "node")
+    place = F.col("n") - F.count("*").over(node) + F.row_number().over(node.orderBy("often", "part"))
+    placed = apart.join(frequent.where("l1 != l2"), ["hub", "part"]).withColumn("place", place)
     seekers = placed.where("over > 0").where(F.col("place") <= F.col("n") + 1 - F.ceil(F.col("over") / (100 + p)))
     sought = placed.where(F.col("place") <= F.col("n") - F.floor(F.col("w") / (100 + p)))
     side = lambda rows, name: rows.select(
