@@ -173,16 +173,26 @@ def _many(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 F.array_except("common", "own").alias("missing"), F.array_except("own", "common").alias("instead"))
         .withColumn("w", 100 * F.size("missing") + p * F.size("instead"))  # weights times 100 + p, in whole numbers
         .withColumn("over", F.col("w") - F.col("h") * (100 - p))
-        .select("node", "hub", "label", "size", "h", "w", "over", F.concat("missing", "instead").alias("parts"))
-        .select("*", F.size("parts").alias("n"), F.explode("parts").alias("part")).drop("parts")
+        .withColumn("n", F.size("missing") + F.size("instead"))
+        .withColumn("reach", F.greatest(
+            F.col("n") - F.floor(F.col("w") / (100 + p)),
+            F.when(F.col("over") > 0, F.col("n") + 1 - F.ceil(F.col("over") / (100 + p))).otherwise(0)))
     )
-    frequent = apart.groupBy("hub", "part").agg(
-        F.count("*").alias("often"), F.min("label").alias("l1"), F.max("label").alias("l2"))
-    # Differences of one component's nodes only can't be shared by an open pair; they come first in every node's order,
-    # and only the others are joined.
+    # The order of differences: what is there instead, rarest first, then what is missing.  Of the first, those that only
+    # one component's nodes have can't be shared by an open pair; they lead every node's order and aren't joined.
+    about = ["node", "hub", "label", "size", "h", "w", "over", "n"]
+    instead = apart.select(*about, F.size("instead").alias("before"), F.explode("instead").alias("part"))
+    frequent = instead.groupBy("hub", "part").agg(
+        F.count("*").alias("often"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2")
     node = Window.partitionBy("hub", "node")
-    place = F.col("n") - F.count("*").over(node) + F.row_number().over(node.orderBy("often", "part"))
-    placed = apart.join(frequent.where("l1 != l2"), ["hub", "part"]).withColumn("place", place)
+    place = F.col("before") - F.count("*").over(node) + F.row_number().over(node.orderBy("often", "part"))
+    placed = instead.join(frequent, ["hub", "part"]).withColumn("place", place).select(*about, "part", "place")
+    rest = F.greatest(F.col("reach") - F.size("instead"), F.lit(0)).cast("int")
+    missing = apart.select(
+        *about, F.size("instead").alias("before"),
+        F.posexplode(F.slice(F.array_sort("missing"), F.lit(1), rest)).alias("at", "part"),
+    ).select(*about, "part", (F.col("before") + F.col("at") + 1).alias("place"))
+    placed = placed.unionByName(missing)
     seekers = placed.where("over > 0").where(F.col("place") <= F.col("n") + 1 - F.ceil(F.col("over") / (100 + p)))
     sought = placed.where(F.col("place") <= F.col("n") - F.floor(F.col("w") / (100 + p)))
     side = lambda rows, name: rows.select(
