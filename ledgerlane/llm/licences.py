@@ -7,6 +7,8 @@ of the nearest path above, found by joins of paths.
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,41 +63,51 @@ def covered(path: Column) -> Column:
 
 
 def statements(pages: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
-    """(page, licence, cosine): the best statement of each page that has one; ``page`` as in the given rows."""
-    spark = pages.sparkSession
-    each = scratch.save(pages.select("page", F.posexplode(lines(F.col("html"))).alias("line", "text")).select(
-        "page", "line", tokens(F.col("text")).alias("tokens")), "lines")
-    total = F.lit(float(max(1, pages.count())))
-    counts = each.select("page", F.explode("tokens").alias("token")).distinct().groupBy("token").agg(
-        F.count("*").alias("pages"))
-    weights = scratch.save(counts.select("token", (F.log((total + 1) / (F.col("pages") + 1)) + 1).alias("idf")), "idf")
-
-    templates = spark.createDataFrame(sorted(TEMPLATES.items()), "licence string, text string").select(
-        "licence", F.explode(tokens(F.col("text"))).alias("token")).groupBy("licence", "token").agg(F.count("*").alias("tf"))
-    rare = F.log(total + 1) + 1  # of a token that no page has
-    templates = templates.join(weights, "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
-    norms = templates.groupBy("licence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    # a row for each token of the templates, whatever the number of pages
-    templates = F.broadcast(templates.join(norms, "licence").select("licence", "token", (F.col("w") / F.col("norm")).alias("share")))
-
-    # a line that shares no token with a template has cosine 0
-    told = F.array(*(F.lit(t) for t in sorted({t for text in TEMPLATES.values() for t in _plain(text)})))
-    near = each.where(F.arrays_overlap("tokens", told)).select("page", "line", F.explode("tokens").alias("token"))
-    terms = near.groupBy("page", "line", "token").agg(F.count("*").alias("tf")).join(weights, "token").select(
-        "page", "line", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    terms = scratch.save(terms, "terms")
-    lengths = terms.groupBy("page", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(templates, "token").groupBy("page", "line", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    found = dots.join(lengths, ["page", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
+    """(row, licence, cosine): the best statement of each row that has one; ``row`` and html as in the given rows.
+
+    Tokens are counted as 64-bit hashes.  A line's cosine to a template is at most the norm of that part of the
+    template's unit vector whose tokens the line has; lines below the wanted cosine by this bound aren't taken further.
+    """
+    words = F.transform(F.flatten(F.transform(lines(F.col("html")), tokens)), lambda t: F.xxhash64(t))
+    counts = pages.select(F.explode(F.array_distinct(words)).alias("token")).groupBy("token").agg(F.count("*").alias("pages"))
+    counts = scratch.save(counts, "counts")
+    total = max(1, pages.count())
+
+    # the templates' own tokens: some tens of numbers, however many pages there are
+    texts = {name: _plain(text) for name, text in TEMPLATES.items()}
+    told = sorted({t for own in texts.values() for t in own})
+    keys = pages.sparkSession.createDataFrame([(t,) for t in told], "text string").select("text", F.xxhash64("text").alias("token"))
+    seen = {r.text: r.pages for r in keys.join(counts, "token").select("text", "pages").collect()}
+    idf = {t: math.log((total + 1) / (seen.get(t, 0) + 1)) + 1 for t in told}
+    share = {}
+    for name, own in texts.items():
+        norm = math.sqrt(sum((own.count(t) * idf[t]) ** 2 for t in set(own)))
+        share |= {(name, t): own.count(t) * idf[t] / norm for t in sorted(set(own))}
+
+    line = pages.select("row", F.posexplode(lines(F.col("html"))).alias("line", "text")).select(
+        "row", "line", tokens(F.col("text")).alias("tokens"))
+    line = line.where(F.arrays_overlap("tokens", F.array(*map(F.lit, told))))
+    bound = F.greatest(*(
+        sum((F.when(F.array_contains("tokens", t), w * w).otherwise(0.0) for (n, t), w in share.items() if n == name), F.lit(0.0))
+        for name in TEMPLATES))
+    terms = line.where(bound >= settings.cosine ** 2 - 1e-9).select("row", "line", F.explode("tokens").alias("text"))
+    terms = terms.groupBy("row", "line", F.xxhash64("text").alias("token")).agg(F.count("*").alias("tf"))
+    w = F.col("tf") * (F.log(F.lit(float(total + 1)) / (F.col("pages") + 1)) + 1)
+    terms = scratch.save(terms.join(counts, "token").select("row", "line", "token", w.alias("w")), "terms")
+    lengths = terms.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    parts = pages.sparkSession.createDataFrame(
+        [(n, t, v) for (n, t), v in share.items()], "licence string, text string, share double",
+    ).select("licence", F.xxhash64("text").alias("token"), "share")
+    dots = terms.join(F.broadcast(parts), "token").groupBy("row", "line", "licence").agg(
+        F.sum(F.col("w") * F.col("share")).alias("dot"))
+    found = dots.join(lengths, ["row", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
     best = F.max(F.struct("cosine", -F.col("line"), "licence"))
-    return found.where(F.col("cosine") >= settings.cosine).groupBy("page").agg(best.alias("best")).select(
-        "page", "best.licence", "best.cosine")
+    return found.where(F.col("cosine") >= settings.cosine).groupBy("row").agg(best.alias("best")).select(
+        "row", "best.licence", "best.cosine")
 
 
 def _plain(text: str) -> list[str]:
     """The tokens of a template, as tokens() gives them."""
-    import re
-
     return [t for t in re.split(r"[^\w.]+|\.(?![0-9])", text.lower()) if t]
 
 
@@ -107,12 +119,12 @@ def licences(pages: DataFrame, settings: Settings, scratch: Scratch) -> DataFram
     inherits and bequeaths nothing; null and repeated ids are kept row by row.  Other columns aren't read.  No rows: an
     empty result.  A path that many pages share is one row before it is joined.
     """
+    # rows that repeat in all of these have the same statements
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), path_of(F.col("url")).alias("path"), "html",
-        F.monotonically_increasing_id().alias("page"))
-    rows = scratch.save(rows, "pages")
-    own = scratch.save(statements(rows, settings, scratch), "statements")
-    given = rows.select("page", "page_id", "path").join(own, "page", "left")
+        F.xxhash64(F.col("page_id").cast("long"), "url", "html").alias("row"))
+    own = scratch.save(statements(rows.select("row", "html").where("html is not null"), settings, scratch), "statements")
+    given = scratch.save(rows.select("row", "page_id", "path").join(own, "row", "left"), "given")
     roots = given.where(F.col("licence").isNotNull() & (F.col("path") != "")).groupBy(covered(F.col("path")).alias("above")).agg(
         F.max(F.struct("cosine", "licence")).alias("top"), F.min("licence").alias("first"))
     best = given.where("licence is not null").select(covered(F.col("path")).alias("above"), "cosine", "licence").join(
@@ -125,7 +137,7 @@ def licences(pages: DataFrame, settings: Settings, scratch: Scratch) -> DataFram
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("above"))
     nearest = above.join(best, "above").groupBy("path").agg(
         F.max(F.struct(F.length("above").alias("depth"), "above", "licence", "cosine")).alias("near"))
-    taken = without.select("page", "page_id", "path").join(nearest, "path", "left").select(
+    taken = without.select("page_id", "path").join(nearest, "path", "left").select(
         "page_id", "near.licence", F.when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.col("near.above").alias("from_path"), "near.cosine")
     stated = given.where("licence is not null").select(

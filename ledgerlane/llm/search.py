@@ -102,15 +102,17 @@ def top_k(vectors: DataFrame, is_query, k: int) -> DataFrame:
     queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     n, m = vectors.count(), queries.count()
     rows, columns = max(1, -(-m // QUERY_BLOCK)), max(LEAST_BLOCKS, -(-n // CANDIDATE_BLOCK))
+    # the keys of both sides are of one type: groups are met by the hash of their keys
+    block = lambda of, n: F.pmod(of, F.lit(n)).cast("int")
     own = F.xxhash64("vec_id", F.lit(3))
     asked = queries.select(
         F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dim"),
-        F.pmod(own, F.lit(rows)).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"))
+        block(own, rows).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"))
     # the row's own contents deal it, so that one repeated id isn't one block
     given = vectors.select(
         "vec_id", "vector", F.size("vector").alias("dim"),
         F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"),
-        F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(columns)).alias("column"))
+        block(F.xxhash64("vec_id", F.monotonically_increasing_id()), columns).alias("column"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []

@@ -77,7 +77,7 @@ def test_inheritance_ties_nulls_and_repeats(spark):
         (None, "http://h.example/a/b", "text"), (13, "http://h.example/long/" + "d/" * 200, "w " * 100_000), (14, "x", "<" * 5000),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(
-        {c: __import__("pyspark.sql.functions", fromlist=["lit"]).lit("x") for c in ("page", "path", "licence", "cosine")})
+        {c: __import__("pyspark.sql.functions", fromlist=["lit"]).lit("x") for c in ("row", "path", "licence", "cosine")})
     check(spark, df)
     got = dict(collected(licences(df, Settings(), scratch(spark, "t")).where("page_id is not null"), "page_id", "licence"))
     assert got[2] == "GPL-3.0" and got[4] == "MIT" and got[6] is None and got[13] == "MIT" and got[7] == "MIT"

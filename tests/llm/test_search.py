@@ -64,3 +64,14 @@ def test_candidate_blocks_of_any_size():
     for q, found, scores in search.best_of_block(ids[:20], x[:20], ids, x, 7):
         exact = sorted((-int(x[q] @ x[c]), c) for c in range(500) if c != q)[:7]
         assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == exact
+
+
+def test_many_blocks_dealt_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=12).tolist()) for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert answers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10) == brute(rows, every=10)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
