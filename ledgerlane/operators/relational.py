@@ -50,11 +50,12 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, absent: Column, *others: str
 
 
 def having_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return df.join(keys.select(key), key, "left_semi")
+    """Rows whose key is among the keys; each task sends a key once, however often it occurs."""
+    return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def lacking_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return df.join(keys.select(key), key, "left_anti")
+    return df.join(keys.select(key).distinct(), key, "left_anti")
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

@@ -15,8 +15,10 @@ from ledgerlane.sources.tables import Tables
 NEWEST_FIRST = ("-OrderDate", "-OrderID")
 
 
-def with_item_count(t: Tables, orders: DataFrame) -> DataFrame:
-    counts = t.order_details.groupBy("OrderID").agg(F.count("BookID").alias("TotalItems"))
+def with_item_count(t: Tables, orders: DataFrame, some: bool = False) -> DataFrame:
+    """Orders with their number of lines; of ``some`` orders only their own lines are counted."""
+    lines = having_key(t.order_details, orders, "OrderID") if some else t.order_details
+    counts = lines.groupBy("OrderID").agg(F.count("BookID").alias("TotalItems"))
     joined = orders.join(counts, "OrderID", "left")
     return joined.withColumn("TotalItems", or_zero(F.col("TotalItems")))
 
@@ -57,7 +59,7 @@ def orders_between(
     t: Tables, first: dt.date, last: dt.date, ordered: bool = False
 ) -> DataFrame:
     chosen = t.orders.filter(F.col("OrderDate").between(F.lit(first), F.lit(last)))
-    full = _with_customer(t, with_item_count(t, chosen), email=False)
+    full = _with_customer(t, with_item_count(t, chosen, some=True), email=False)
     return listing(full, NEWEST_FIRST, ordered)
 
 

@@ -11,8 +11,10 @@ from ledgerlane.plans.orders import with_item_count
 from ledgerlane.sources.tables import Tables
 
 
-def _customers_with_totals(t: Tables, customers: DataFrame) -> DataFrame:
-    totals = t.orders.groupBy("CustomerID").agg(
+def _customers_with_totals(t: Tables, customers: DataFrame, some: bool = False) -> DataFrame:
+    """Customers with their orders' totals; of ``some`` customers only their own orders are added up."""
+    orders = having_key(t.orders, customers, "CustomerID") if some else t.orders
+    totals = orders.groupBy("CustomerID").agg(
         F.count("*").alias("TotalOrders"), F.sum("TotalAmount").alias("TotalSpent")
     )
     joined = customers.join(totals, "CustomerID", "left")
@@ -33,13 +35,13 @@ def customer_search(
     found = t.customers.filter(contains_any(
         term, "Name", "Email", "Phone", accent_insensitive=accent_insensitive
     ))
-    return listing(_customers_with_totals(t, found), ("-CustomerID",), ordered)
+    return listing(_customers_with_totals(t, found, some=True), ("-CustomerID",), ordered)
 
 
 def customer_orders(t: Tables, keys: DataFrame, ordered: bool = False) -> DataFrame:
     """The orders of the given customers with their line counts."""
     theirs = having_key(t.orders, keys, "CustomerID")
-    return listing(with_item_count(t, theirs), ("-OrderDate", "-OrderID"), ordered)
+    return listing(with_item_count(t, theirs, some=True), ("-OrderDate", "-OrderID"), ordered)
 
 
 def customer_top(t: Tables, k: int = 10) -> DataFrame:

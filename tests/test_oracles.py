@@ -16,7 +16,7 @@ def con():
     return check.database(ROOT)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry._QUERIES))
 def test_query(spark, con, name):
     assert check.compare(spark, con, name, ROOT).startswith(("ok", "rows"))
 
@@ -26,6 +26,6 @@ def test_entry(spark):
 
 
 def test_only_documents_lack_sql():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    missing = set(entry._QUERIES) - set(entry.oracle_sql())
     assert missing == {"dash_all", "rev_bundle", "dash_top5_views", "export_report"}
     assert not set(entry.oracle_sql()) - set(entry.queries())
