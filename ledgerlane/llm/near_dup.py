@@ -152,7 +152,7 @@ def _few(entries: DataFrame, percent: int) -> DataFrame:
     return seekers.join(sought, ["key", "class"]).where(fits & other).select("u", "v")
 
 
-def _many(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _many(entries: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs of crowded buckets that can still be links, by how their sets differ from one common set, the hub's.
 
     The hub is here the node that meets most others in the bucket's main component, so that a family of copies has one.
@@ -180,7 +180,7 @@ def _many(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     # The order of differences: what is there instead, rarest first, then what is missing.  Of the first, those that only
     # one component's nodes have can't be shared by an open pair; they lead every node's order and aren't joined.
-    about = ["node", "hub", "label", "size", "h", "w", "over", "n"]
+    about = ["node", "hub", "label", "size", "h", "w", "over", "n", "reach"]
     instead = apart.select(*about, F.size("instead").alias("before"), F.explode("instead").alias("part"))
     frequent = instead.groupBy("hub", "part").agg(
         F.count("*").alias("often"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2")
@@ -192,7 +192,8 @@ def _many(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         *about, F.size("instead").alias("before"),
         F.posexplode(F.slice(F.array_sort("missing"), F.lit(1), rest)).alias("at", "part"),
     ).select(*about, "part", (F.col("before") + F.col("at") + 1).alias("place"))
-    placed = placed.unionByName(missing)
+    # written, since both sides of the join read it: one plan for all of this costs the driver much memory
+    placed = scratch.save(placed.unionByName(missing).where("place <= reach"), "differences")
     seekers = placed.where("over > 0").where(F.col("place") <= F.col("n") + 1 - F.ceil(F.col("over") / (100 + p)))
     sought = placed.where(F.col("place") <= F.col("n") - F.floor(F.col("w") / (100 + p)))
     side = lambda rows, name: rows.select(
@@ -207,9 +208,9 @@ def _many(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_pairs(
-    met: DataFrame, fame: DataFrame, labels: DataFrame, sets: DataFrame, settings: Settings,
+    met: DataFrame, fame: DataFrame, labels: DataFrame, sets: DataFrame, settings: Settings, scratch: Scratch,
 ) -> DataFrame:
-    """The pairs of each bucket that are not yet connected and that can be links."""
+    """The pairs of each bucket that are not yet connected and that can be links; each step is a written table."""
     known = labels.select("node", F.col("component").alias("label"))
     entries = met.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
     shares = entries.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -217,14 +218,17 @@ def _open_pairs(
         F.max(F.struct("n", F.col("label").alias("main"))).alias("most"), F.sum("n").alias("members"),
         F.count("*").alias("labels"),
     ).where("labels > 1").select("key", "most.main", "members")
-    entries = entries.join(buckets, "key")
+    entries = scratch.save(
+        entries.join(buckets, "key").select("key", "node", "size", "label", "main", "members"), "open")
     few = _few(entries.where(F.col("members") <= settings.crowd), settings.percent)
     leads = fame.join(labels, "node").groupBy(F.col("component").alias("main")).agg(
         F.max(F.struct("fame", F.col("node").alias("hub"))).alias("most")).select("main", "most.hub")
-    crowds = entries.where(F.col("members") > settings.crowd).drop("hub").join(leads, "main", "left")
+    crowds = entries.where(F.col("members") > settings.crowd).join(leads, "main", "left")
     crowds = crowds.withColumn("hub", F.coalesce("hub", "main"))
-    many = _many(crowds, sets, settings.percent)
-    return few.unionByName(many).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    many = _many(crowds, sets, settings.percent, scratch)
+    either = few.unionByName(many)
+    return scratch.save(
+        either.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "open-pairs")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
@@ -259,7 +263,7 @@ def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> Da
     links = scratch.save(_confirmed(first, sets, settings), "links")
     labels = scratch.save(components(links, scratch, "first"), "labels")
     more = scratch.save(
-        _confirmed(_open_pairs(met, fame, labels, sets, settings), sets, settings), "more")
+        _confirmed(_open_pairs(met, fame, labels, sets, settings, scratch), sets, settings), "more")
     stars = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
     joined = components(stars.unionByName(more), scratch, "all")
 
