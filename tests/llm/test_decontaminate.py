@@ -98,3 +98,42 @@ def test_odd_rows_blocks_and_empty_tables(spark, monkeypatch):
     assert collected(clean(docs, items, Settings()), "doc_id") == [(2,), (3,), (None,)]
     assert passages(docs, items.limit(0), Settings()).count() == 0
     assert passages(documents(spark, []), items, Settings()).count() == 0
+
+
+def spoiled(rng: random.Random, words: list[str], edits: int) -> list[str]:
+    """With edits of all kinds, evenly spaced, which leave the shortest stretches."""
+    words, size = list(words), len(words)
+    for j in reversed(range(edits)):
+        at = (2 * j + 1) * size // (2 * edits)
+        words[at:at + 1] = [[f"z{rng.randrange(10 ** 6)}"], [], [f"y{rng.randrange(10 ** 6)}", words[at]]][rng.randrange(3)]
+    return words
+
+
+def test_recall_by_length():
+    rng = random.Random(4)
+    for size in (1, 2, 3, 4, 5, 6, 7, 9, 10, 12, 14, 15, 17, 18, 20, 25, 30):
+        items = [[f"i{i}x{j}" for j in range(size)] for i in range(200)]
+        around = lambda: [f"a{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(30))]
+        searched = Items([(i, " ".join(w)) for i, w in enumerate(items)], Settings())
+        for edits in {0, int(0.2 * size)}:
+            docs = [" ".join([*around(), *spoiled(rng, w, edits), *around()]) for w in items]
+            hit = sum(any(h[0] == i for h in own) for i, own in enumerate(searched.found(docs)))
+            least = len(items) if size <= decontaminate.SHORT else decontaminate.TARGET_RECALL * len(items)
+            assert hit >= least, (size, edits, hit)
+
+
+def test_short_items_like_brute_force():
+    rng = random.Random(6)
+    for vocabulary in (list("ab"), [f"w{i}" for i in range(12)]):
+        items = [(i, " ".join(rng.choice(vocabulary) for _ in range(1 + i % 17))) for i in range(68)]
+        docs = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(25))) for _ in range(150)]
+        docs += [edited(rng, rng.choice(items)[1], rng.randrange(4)) for _ in range(150)]
+        found = Items(items, Settings()).found(docs)
+        assert {(d, h[0]) for d, own in enumerate(found) for h in own} == brute(list(enumerate(docs)), items)
+
+
+def test_every_place_of_short_items():
+    items = [(1, "the"), (None, "to be"), (2, "one two three four five")]
+    text = "The cat, to be the THE one two three four and one two three four five to be"
+    assert Items(items, Settings()).found([text, "to", "", "be"]) == [
+        [(1, 0, 1, 0), (None, 2, 4, 0), (1, 4, 5, 0), (1, 5, 6, 0), (2, 6, 11, 1), (2, 11, 16, 0), (None, 16, 18, 0)], [], [], []]
