@@ -3,14 +3,21 @@
 Weights come from document counts of all pages.  A statement found on a page holds for the page's path and everything
 below it, and a statement in a licence file for the file's directory; a page without a statement of its own takes that
 of the nearest path above, found by joins of paths.
+
+Short notices are compared with whole lines.  Notices, file headers, SPDX tags and the licences' own texts are also
+compared with windows of their size over all words of a page, whatever lines and paragraphs these stand in.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +37,38 @@ TEMPLATES = {
     "MPL-2.0": "Subject to the terms of the Mozilla Public License, version 2.0.",
     "reserved": "All rights reserved.",
 }
+# Usual headers of files and pages.
+_GNU = (
+    "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} Public License as published"
+    " by the Free Software Foundation; {2}, or (at your option) any later version.")
+HEADERS = {
+    "AGPL-3.0": [_GNU.format("program", "Affero General", "either version 3 of the License")],
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. The ASF licenses this file"
+        " to you under the Apache License, Version 2.0",
+    ],
+    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "GPL-2.0": [_GNU.format("program", "General", "either version 2 of the License")],
+    "GPL-3.0": [_GNU.format("program", "General", "either version 3 of the License")],
+    "LGPL-2.1": [_GNU.format("library", "Lesser General", "either version 2.1 of the License")],
+    "LGPL-3.0": [_GNU.format("library", "Lesser General", "either version 3 of the License")],
+    "MIT": ["This project is licensed under the MIT License - see the LICENSE file for details."],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed"
+        " with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+}
+# A tag holds word for word only: names differ in a word or number.
+TAGS = {name: f"SPDX-License-Identifier: {name}" for name in (
+    "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0",
+    "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")}
+TAG_COSINE = 0.999999
+TEXTS = Path(__file__).with_name("licence_texts")
+#: Windows of up to so many words are compared at each word, longer ones at each part of this size, and where they look best.
+STEP_WORDS = 64
 LICENCE_FILES = ("licence", "license", "copying", "notice", "unlicense")
 
 
@@ -62,9 +101,102 @@ def covered(path: Column) -> Column:
     return F.when(name.isin(*LICENCE_FILES) & path.contains("/"), folder).otherwise(path)
 
 
+@dataclass(frozen=True)
+class Window:
+    """A template for windows: licence, tokens, least cosine, and whether it outranks short notices."""
+
+    licence: str
+    tokens: list[str]
+    least: float
+    full: bool
+
+
+def window_templates(settings: Settings) -> list[Window]:
+    out = [Window(name, _plain(text), settings.cosine, False) for name, text in TEMPLATES.items()]
+    out += [Window(name, _plain(text), settings.cosine, True) for name, own in HEADERS.items() for text in own]
+    out += [Window(name, _plain(text), max(settings.cosine, TAG_COSINE), True) for name, text in TAGS.items()]
+    return out + [
+        Window(path.stem, _plain(path.read_text("utf-8")), settings.cosine, True) for path in sorted(TEXTS.glob("*.txt"))]
+
+
+class Windows:
+    """Finds windows that may be near enough to a template; sent to each task.
+
+    Bounds of the cosine: words of no template have weight 1 or more, and a window's length is at least that of its words
+    counted one by one.
+    """
+
+    def __init__(self, templates: list[Window], hashes: dict[str, int], idf: dict[str, float]):
+        order = sorted(hashes, key=hashes.get)
+        self.known = np.array([hashes[t] for t in order], np.int64)
+        self.idf = np.array([*(idf[t] for t in order), 1.0])
+        place = {t: k for k, t in enumerate(order)}
+        self.templates = []
+        for own in templates:
+            unit = np.zeros(len(order) + 1)
+            for t in own.tokens:
+                unit[place[t]] += idf[t]
+            self.templates.append((len(own.tokens), own.least, unit / np.sqrt(np.sum(unit * unit))))
+        self.squares = np.stack([unit for _, _, unit in self.templates]) ** 2
+        self.least = np.array([(own.least - 1e-6) ** 2 for own in templates])
+
+    def found(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Template, begin, and tokens with their counts, of windows over a page's tokens."""
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        at = np.where(self.known[at] == words, at, len(self.known))
+        # a cosine is at most the norm of that part of the template whose tokens the page has
+        can = self.squares[:, np.unique(at)].sum(axis=1) >= self.least
+        if not can.any():
+            return
+        square, starts = np.concatenate([[0.0], np.cumsum(self.idf[at] ** 2)]), np.arange(len(words))
+        for k in np.flatnonzero(can).tolist():
+            size, least, unit = self.templates[k]
+            dots = np.concatenate([[0.0], np.cumsum((unit * self.idf)[at])])
+            end = np.minimum(starts + size, len(words))
+            bound = (dots[end] - dots[:-1]) / np.sqrt(square[end] - square[:-1])
+            near = np.flatnonzero(bound >= least - 1e-6)
+            if size > STEP_WORDS and len(near):
+                # of each stretch of starts the best, and some between
+                stretch = np.cumsum(np.diff(near, prepend=near[0]) > 1)
+                best = np.lexsort((near, -bound[near], stretch))
+                best = best[np.unique(stretch[best], return_index=True)[1]]
+                near = np.union1d(near[best], near[near % STEP_WORDS == 0])
+            for begin in near.tolist():
+                token, first, tf = np.unique(words[begin:end[begin]], return_index=True, return_counts=True)
+                length = np.sqrt(np.sum((tf * self.idf[at[begin + first]]) ** 2))
+                if dots[end[begin]] - dots[begin] >= (least - 1e-6) * length:
+                    yield k, begin, token, tf
+
+
+def _near_windows(pages: DataFrame, windows: Windows) -> DataFrame:
+    """row, line, template, start, token and tf of the windows that may be near enough."""
+    shared = pages.sparkSession.sparkContext.broadcast(windows)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row, words, sizes in zip(batch["row"].tolist(), batch["words"], batch["sizes"], strict=True):
+                for template, begin, token, tf in shared.value.found(np.asarray(words, np.int64)) if len(words) else ():
+                    line = int(np.searchsorted(np.cumsum(sizes), begin, "right"))
+                    out.append((np.broadcast_to([[row], [line], [template], [begin]], (4, len(token))), token, tf))
+            if out:
+                row, line, template, start = np.concatenate([x[0] for x in out], axis=1)
+                yield pd.DataFrame({
+                    "row": row, "line": line.astype(np.int32), "template": template.astype(np.int32), "start": start.astype(np.int32),
+                    "token": np.concatenate([x[1] for x in out]), "tf": np.concatenate([x[2] for x in out])})
+
+    # words and lines as tokens() and lines() give them
+    told = F.transform(lines(F.col("html")), tokens)
+    given = pages.select(
+        "row", F.transform(F.flatten(told), lambda t: F.xxhash64(t)).alias("words"), F.transform(told, lambda x: F.size(x)).alias("sizes"))
+    return given.mapInPandas(run, "row long, line int, template int, start int, token long, tf long")
+
+
 def statements(pages: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     """(row, licence, cosine): the best statement of each row that has one; ``row`` and html as in the given rows.
 
+    Headers, tags and whole texts come before short notices: a licence's text often stands below "All rights reserved."
+
     Tokens are counted as 64-bit hashes.  A line's cosine to a template is at most the norm of that part of the
     template's unit vector whose tokens the line has; lines below the wanted cosine by this bound aren't taken further.
     """
@@ -73,12 +205,14 @@ def statements(pages: DataFrame, settings: Settings, scratch: Scratch) -> DataFr
     counts = scratch.save(counts, "counts")
     total = max(1, pages.count())
 
-    # the templates' own tokens: some tens of numbers, however many pages there are
+    # the templates' own tokens: some thousands of numbers, however many pages there are
     texts = {name: _plain(text) for name, text in TEMPLATES.items()}
     told = sorted({t for own in texts.values() for t in own})
-    keys = pages.sparkSession.createDataFrame([(t,) for t in told], "text string").select("text", F.xxhash64("text").alias("token"))
-    seen = {r.text: r.pages for r in keys.join(counts, "token").select("text", "pages").collect()}
-    idf = {t: math.log((total + 1) / (seen.get(t, 0) + 1)) + 1 for t in told}
+    wide = window_templates(settings)
+    every = sorted({*told, *(t for own in wide for t in own.tokens)})
+    keys = pages.sparkSession.createDataFrame([(t,) for t in every], "text string").select("text", F.xxhash64("text").alias("token"))
+    seen = {r.text: (r.token, r.pages) for r in keys.join(counts, "token", "left").select("text", "token", "pages").collect()}
+    idf = {t: math.log((total + 1) / ((seen[t][1] or 0) + 1)) + 1 for t in every}
     share = {}
     for name, own in texts.items():
         norm = math.sqrt(sum((own.count(t) * idf[t]) ** 2 for t in set(own)))
@@ -101,20 +235,36 @@ def statements(pages: DataFrame, settings: Settings, scratch: Scratch) -> DataFr
     dots = terms.join(F.broadcast(parts), "token").groupBy("row", "line", "licence").agg(
         F.sum(F.col("w") * F.col("share")).alias("dot"))
     found = dots.join(lengths, ["row", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
-    best = F.max(F.struct("cosine", -F.col("line"), "licence"))
-    return found.where(F.col("cosine") >= settings.cosine).groupBy("row").agg(best.alias("best")).select(
+    found = found.select("row", F.lit(False).alias("full"), "line", "licence", "cosine", F.lit(settings.cosine).alias("least"))
+
+    near = scratch.save(_near_windows(pages, Windows(wide, {t: h for t, (h, _) in seen.items()}, idf)), "windows")
+    near = near.groupBy("row", "line", "template", "start", "token").agg(F.sum("tf").alias("tf")).join(counts, "token")
+    square = {k: sum((own.tokens.count(t) * idf[t]) ** 2 for t in set(own.tokens)) for k, own in enumerate(wide)}
+    units = pages.sparkSession.createDataFrame(
+        [(k, seen[t][0], own.tokens.count(t) * idf[t] / math.sqrt(square[k])) for k, own in enumerate(wide) for t in sorted(set(own.tokens))],
+        "template int, token long, share double")
+    kinds = pages.sparkSession.createDataFrame(
+        [(k, own.licence, own.full, own.least) for k, own in enumerate(wide)], "template int, licence string, full boolean, least double")
+    compared = near.withColumn("w", w).join(F.broadcast(units), ["template", "token"], "left").groupBy(
+        "row", "line", "template", "start").agg(
+            F.sum(F.col("w") * F.col("share")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    wider = compared.join(F.broadcast(kinds), "template").select(
+        "row", "full", "line", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "least")
+    best = F.max(F.struct("full", "cosine", -F.col("line"), "licence"))
+    return found.unionByName(wider).where(F.col("cosine") >= F.col("least")).groupBy("row").agg(best.alias("best")).select(
         "row", "best.licence", "best.cosine")
 
 
 def _plain(text: str) -> list[str]:
     """The tokens of a template, as tokens() gives them."""
-    return [t for t in re.split(r"[^\w.]+|\.(?![0-9])", text.lower()) if t]
+    return [t for t in re.split(r"[^\w.]+|_|\.(?![0-9])", text.lower()) if t]
 
 
 def licences(pages: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     """page_id, licence, origin ("own", "inherited" or "none"), from_path and cosine for every row of pages(page_id, url, html).
 
-    Of several statements on a page the most similar counts, then the first.  Where several pages state a licence for one
+    Of several statements on a page headers, tags and whole texts count before notices, then the most similar, then the
+    first.  Where several pages state a licence for one
     path, the most similar counts, then the first name.  Null html states nothing, a null url is an empty path that
     inherits and bequeaths nothing; null and repeated ids are kept row by row.  Other columns aren't read.  No rows: an
     empty result.  A path that many pages share is one row before it is joined.

@@ -6,7 +6,7 @@ from collections import Counter
 
 from texts import SMALL, collected
 
-from ledgerlane.llm.licences import LICENCE_FILES, TEMPLATES, Settings, licences
+from ledgerlane.llm.licences import LICENCE_FILES, TEMPLATES, TEXTS, Settings, licences
 from ledgerlane.llm.tables import read, scratch
 
 
@@ -82,3 +82,22 @@ def test_inheritance_ties_nulls_and_repeats(spark):
     got = dict(collected(licences(df, Settings(), scratch(spark, "t")).where("page_id is not null"), "page_id", "licence"))
     assert got[2] == "GPL-3.0" and got[4] == "MIT" and got[6] is None and got[13] == "MIT" and got[7] == "MIT"
     assert licences(df.limit(0), Settings(), scratch(spark, "t")).count() == 0
+
+
+def test_headers_tags_paragraphs_and_whole_texts(spark):
+    filler = "some words of an ordinary page that say nothing about it "
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    said = {
+        1: ("Apache-2.0", f"<p>{filler * 3}{apache} {filler * 3}</p>"), 2: ("reserved", "<p>Copyright (c) 2024 Acme Corp. All rights reserved.</p>"),
+        3: ("MIT", f"<p>{filler} This software is released under the MIT License, {filler}</p>"), 4: ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-only"),
+        5: ("BSD-2-Clause", "# SPDX-License-Identifier: BSD-2-Clause"), 6: (None, "# SPDX-License-Identifier: Zlib"), 7: (None, filler),
+        8: ("CC-BY-SA-4.0", f"{filler}<a>This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.</a>"),
+    }
+    texts = sorted(TEXTS.glob("*.txt"))
+    said |= {100 + n: (p.stem, f"Copyright (c) 2024 Acme Corp. All rights reserved.\n\n{p.read_text()}\n{filler}") for n, p in enumerate(texts)}
+    rows = [(i, f"http://h{i}.example/LICENSE", html) for i, (_, html) in said.items()] + [(1000, "http://h100.example/a/b", filler)]
+    rows += [(2000 + n, f"http://f.example/{n}", filler) for n in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in licences(df, Settings(), scratch(spark, "t")).where("page_id < 2000").collect()}
+    assert {i: got[i].licence for i in said} == {i: name for i, (name, _) in said.items()}
+    assert (got[1000].licence, got[1000].origin) == (texts[0].stem, "inherited")
