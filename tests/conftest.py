@@ -1,20 +1,17 @@
 from __future__ import annotations
 
-import datetime as dt
 import sys
-from decimal import Decimal
 from pathlib import Path
 
 import pytest
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
 from ledgerlane import schema as S  # noqa: E402
 from ledgerlane.session import configure  # noqa: E402
-from ledgerlane.sources import seeds  # noqa: E402
 from ledgerlane.sources.tables import Tables, empty_tables  # noqa: E402
+from shop_frames import frame  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -34,25 +31,6 @@ def spark(tmp_path_factory) -> SparkSession:
     session.stop()
 
 
-def _value(value, kind: T.DataType):
-    if value is None:
-        return None
-    if isinstance(kind, T.DecimalType):
-        return Decimal(str(value)).quantize(Decimal("0.01"))
-    if isinstance(kind, T.DateType) and isinstance(value, str):
-        return dt.date.fromisoformat(value)
-    if isinstance(kind, T.TimestampType):
-        moment = dt.datetime.fromisoformat(value) if isinstance(value, str) else value
-        return moment.replace(tzinfo=dt.timezone.utc)
-    return value
-
-
-def frame(spark: SparkSession, schema: T.StructType, *rows: dict) -> DataFrame:
-    """Rows given by column name; what is left out is null."""
-    filled = [tuple(_value(r.get(f.name), f.dataType) for f in schema.fields) for r in rows]
-    return seeds.local_frame(spark, filled, schema)
-
-
 @pytest.fixture
 def shop(spark):
     """Build tables from rows per table name; tables not named are empty."""
@@ -61,16 +39,3 @@ def shop(spark):
             **{name: frame(spark, S.SCHEMAS[name], *rows) for name, rows in tables.items()}
         )
     return build
-
-
-def rows(df: DataFrame, *columns: str) -> list[tuple]:
-    """Collected rows of the columns, decimals as floats."""
-    picked = df.select(*columns) if columns else df
-    plain = lambda v: float(v) if isinstance(v, Decimal) else v
-    return [tuple(plain(v) for v in r) for r in picked.collect()]
-
-
-def one(df: DataFrame) -> dict:
-    found = df.collect()
-    assert len(found) == 1
-    return {k: float(v) if isinstance(v, Decimal) else v for k, v in found[0].asDict().items()}

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import one, rows
+from shop_frames import one, rows
 
 from ledgerlane.plans import dashboard as D
 from ledgerlane.plans import revenue as R

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import one, rows
+from shop_frames import one, rows
 
 from ledgerlane.plans import catalog, orders, parties, payments
 from ledgerlane.plans import promotions as P

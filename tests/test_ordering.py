@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import frame, rows
+from shop_frames import frame, rows
 
 from ledgerlane import schema as S
 from ledgerlane.operators.allocation import allocate

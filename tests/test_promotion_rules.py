@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import frame, one, rows
+from shop_frames import frame, one, rows
 from pyspark.sql import functions as F
 
 from ledgerlane import schema as S

@@ -4,7 +4,7 @@ import os
 
 import pyarrow.parquet as pq
 import pytest
-from conftest import frame, rows
+from shop_frames import frame, rows
 
 from ledgerlane import schema as S
 from ledgerlane.operators.relational import lookup

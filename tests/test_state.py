@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import frame, rows
+from shop_frames import frame, rows
 from pyspark.sql import functions as F
 
 from ledgerlane import schema as S

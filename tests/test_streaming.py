@@ -2,7 +2,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import frame, rows
+from shop_frames import frame, rows
 from pyspark.sql import functions as F
 
 from ledgerlane import schema as S

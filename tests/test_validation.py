@@ -1,5 +1,5 @@
 import pytest
-from conftest import frame, rows
+from shop_frames import frame, rows
 
 from ledgerlane import schema as S
 from ledgerlane.plans import validation as V
