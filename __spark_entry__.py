@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlane.plans import catalog, dashboard, orders, ordering, parties, payments
+from ledgerlane.plans import catalog, constraints, dashboard, orders, ordering, parties, payments
 from ledgerlane.plans import promotions, revenue, state, validation
 from ledgerlane.session import Scratch
 from ledgerlane.sources import batches as B
@@ -28,7 +28,8 @@ try:
     from ledgerlane.llm import queries as text_queries
 except ModuleNotFoundError as missing:
     # Only the absence of the package itself, or of the pipeline that goes with it, is accepted.
-    if missing.name not in ("ledgerlane.llm", "ledgerlane.llm.queries", "corpus_pipeline"):
+    # Neither is on hand where the tokenizers' files aren't.
+    if missing.name not in ("ledgerlane.llm", "ledgerlane.llm.queries", "corpus_pipeline", "public_tokenizers"):
         raise
     text_queries = None
 
@@ -260,6 +261,20 @@ def _streamed_intake(spark: SparkSession, root: str) -> DataFrame:
     return log.read("decisions", decided, -1, query.lastProgress["batchId"] + 1).drop("batch")
 
 
+def _referring(batch, references, *row: str):
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        judged = constraints.with_references(
+            star.star_tables(spark, root), batch(spark, root), references, Scratch(spark, "references"), row)
+        return judged.select(*row, "Reason")
+    return run
+
+
+def _served_once(spark: SparkSession, root: str) -> DataFrame:
+    t = star.star_tables(spark, root)
+    scratch = Scratch(spark, "take-once")
+    return constraints.take_once(t, *B.deliveries(spark, root), PROMOTION_AS_OF, scratch)[0]
+
+
 def _order_drafts(spark: SparkSession, root: str) -> DataFrame:
     return _reasons(validation.validate_orders(*B.draft_orders(spark, root)), "OrderID")
 
@@ -372,6 +387,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "delete_suppliers": _deletes("supplier", "s_suppkey", "SupplierID", "suppliers", "books"),
     "delete_promotions": _deletes(
         "part", "p_partkey", "PromotionID", "promotions", "promotion_usage"),
+    # references and order numbers
+    "fk_orders": _referring(B.referring_orders, constraints.ORDERS, "OrderID"),
+    "fk_order_details": _referring(B.referring_lines, constraints.ORDER_DETAILS, "OrderID", "Position"),
+    "fk_books": _referring(star.books, constraints.BOOKS, "BookID"),
+    "fk_targets": _referring(B.referring_targets, constraints.PROMOTION_TARGETS, "TargetID"),
+    "fk_promotion_usage": _referring(star.promotion_usage, constraints.PROMOTION_USAGE, "UsageID"),
+    "take_orders_replayed": _served_once,
     # state after changes
     "upsert_books": _book_updates,
     "upsert_customers": _customer_updates,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane import schema as S
-from ledgerlane.sources.star import part_promotions, source
+from ledgerlane.sources.star import orders, part_promotions, source
 
 FAR = 1_000_000_000_000  # beyond every stored key
 
@@ -270,3 +270,45 @@ def purchases(events: DataFrame) -> DataFrame:
         F.col("user_id").alias("CustomerID"),
         F.col("value").cast(S.MONEY).alias("Amount"),
     )
+
+
+def referring_orders(spark: SparkSession, root: str) -> DataFrame:
+    """Orders to be stored, the low ones with a payment method that no shop has."""
+    low = source(spark, root, "orders").filter("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("OrderID"))
+    order = orders(spark, root).select("OrderID", "CustomerID", "PaymentMethodID", "PromotionID")
+    marked = order.join(low.withColumn("_low", F.lit(True)), "OrderID", "left")
+    return marked.withColumn(
+        "PaymentMethodID", F.when(F.col("_low"), F.lit(9)).otherwise(F.col("PaymentMethodID"))).drop("_low")
+
+
+def referring_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Order lines to be stored: some of orders, some of books that there aren't."""
+    return source(spark, root, "lineitem").select(
+        _far_if(F.col("l_returnflag") == "A", "l_orderkey").alias("OrderID"),
+        F.col("l_linenumber").alias("Position"),
+        _far_if(F.col("l_quantity") >= 45, "l_partkey").alias("BookID"),
+    )
+
+
+def referring_targets(spark: SparkSession, root: str) -> DataFrame:
+    """Targets of promotions of which half aren't stored."""
+    number = F.col("p_partkey")
+    return source(spark, root, "part").select(
+        number.alias("TargetID"), (number * 2 + len(S.SEED_PROMOTIONS) + 1).alias("PromotionID"))
+
+
+def deliveries(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Requests as they are delivered: paid orders once more, others under new numbers, pending ones twice.
+
+    Headers and lines have a ``Delivery``; the second one of a request asks for more.
+    """
+    order = source(spark, root, "orders")
+    fresh, again = F.col("o_orderstatus") != "F", F.col("o_orderstatus") == "P"
+    times = F.explode(F.when(again, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("Delivery")
+    sent = order.withColumn("o_orderkey", _far_if(fresh, "o_orderkey"))
+    first = request_headers(sent).withColumn("Delivery", F.lit(1))
+    second = request_headers(sent.filter(again)).withColumn("Delivery", F.lit(2))
+    numbers = order.select(F.col("o_orderkey").alias("OrderID"), _far_if(fresh, "o_orderkey").alias("_number"), times)
+    line = request_lines(spark, root).join(numbers, "OrderID")
+    lines = line.withColumns({"OrderID": F.col("_number"), "Quantity": F.col("Quantity") + F.col("Delivery") - 1})
+    return first.unionByName(second), lines.drop("_number")

@@ -144,18 +144,16 @@ _REQUESTS = """
       AND (UsageLimit IS NULL OR UsedCount < UsageLimit)),
 """.replace("{today}", PROMO_TODAY)
 
-_PRELUDE = "WITH" + _SEEDS + _ADAPTER + _REQUESTS
-
 _ORACLES: dict[str, str] = {}
 
 
-def _add(name: str, columns: str, body: str, extra: str = "") -> None:
-    """Register a query; ``extra`` holds further common table expressions."""
+def _add(name: str, columns: str, body: str, extra: str = "", requests: str = _REQUESTS) -> None:
+    """Register a query; ``extra`` holds further common table expressions, ``requests`` those of what comes in."""
     picked = ", ".join(
         _CASTS[kind].format(c=f'"{column}"') + f' AS "{column}"'
         for column, kind in (item.split(":") for item in columns.split())
     )
-    _ORACLES[name] = f"{_PRELUDE}{extra} result AS ({body}) SELECT {picked} FROM result"
+    _ORACLES[name] = f"WITH{_SEEDS}{_ADAPTER}{requests}{extra} result AS ({body}) SELECT {picked} FROM result"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -699,14 +697,16 @@ def _merged(base: str, key: str, changed: str, kept: dict[str, str], columns: st
     names = [item.split(":")[0] for item in columns.split()]
     new = ", ".join(kept.get(n, f"c.{n}") + f" AS {n}" for n in names)
     old = ", ".join(names)
-    return f"""SELECT {old} FROM {base} WHERE {key} NOT IN (SELECT {key} FROM {changed})
+    return f"""SELECT {old} FROM {base} ANTI JOIN {changed} USING ({key})
       UNION ALL SELECT {new} FROM {changed} c LEFT JOIN {base} b ON b.{key} = c.{key}"""
 
 
 _add("upsert_books", _BOOK, _merged("books", "BookID", "changed", {}, _BOOK), f"""
+  keyed AS (
+    SELECT *, l_partkey + CASE WHEN l_returnflag = 'A' THEN {FAR} ELSE 0 END AS k FROM lineitem),
   lines AS (
-    SELECT *, l_partkey + CASE WHEN l_returnflag = 'A' THEN {FAR} ELSE 0 END AS k FROM lineitem
-    QUALIFY row_number() OVER (PARTITION BY k ORDER BY l_shipdate DESC, l_orderkey DESC,
+    SELECT * FROM keyed
+    QUALIFY row_number() OVER (PARTITION BY keyed.k ORDER BY l_shipdate DESC, l_orderkey DESC,
       l_extendedprice DESC, l_quantity DESC, l_suppkey DESC, l_returnflag DESC, l_linestatus DESC) = 1),
   changed AS (
     SELECT k AS BookID, 'Title ' || l_suppkey AS Title, l_returnflag AS Author, l_linestatus AS Genre,
@@ -919,7 +919,62 @@ _add("take_orders_stock", _BOOK,
                 JOIN served s ON s.OrderID = l.OrderID AND s.fate IS NULL
                 WHERE l.BookID = b.BookID), 0) AS sold FROM books b)""", _SERVED)
 
-for _name in ("take_orders", "take_orders_stock"):
+# Constraints on what comes in, row by row.
+def _lacks(column: str, table: str, key: str = "") -> str:
+    return f"{column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {table} r WHERE r.{key or column} = b.{column})"
+
+
+_add("fk_orders", "OrderID:n Reason:s", f"""SELECT OrderID, CASE
+       WHEN {_lacks("CustomerID", "customers")} THEN 'unknown_customer'
+       WHEN {_lacks("PaymentMethodID", "payment_methods")} THEN 'unknown_payment_method'
+       WHEN {_lacks("PromotionID", "promotions")} THEN 'unknown_promotion' END AS Reason
+     FROM (SELECT s.* REPLACE (CASE WHEN o.o_orderpriority = '5-LOW' THEN 9 ELSE PaymentMethodID END AS PaymentMethodID)
+           FROM shop_orders s JOIN main.orders o ON o.o_orderkey = s.OrderID) b""")
+_add("fk_order_details", "OrderID:n Position:n Reason:s", f"""SELECT OrderID, Position, CASE
+       WHEN {_lacks("OrderID", "shop_orders")} THEN 'unknown_order'
+       WHEN {_lacks("BookID", "books")} THEN 'unknown_book' END AS Reason
+     FROM (SELECT l_orderkey + CASE WHEN l_returnflag = 'A' THEN {FAR} ELSE 0 END AS OrderID, l_linenumber AS Position,
+                  l_partkey + CASE WHEN l_quantity >= 45 THEN {FAR} ELSE 0 END AS BookID FROM lineitem) b""")
+_add("fk_books", "BookID:n Reason:s",
+     f"SELECT BookID, CASE WHEN {_lacks('SupplierID', 'suppliers')} THEN 'unknown_supplier' END AS Reason FROM books b")
+_add("fk_targets", "TargetID:n Reason:s", f"""SELECT TargetID, CASE
+       WHEN {_lacks("PromotionID", "promotions")} THEN 'unknown_promotion' END AS Reason
+     FROM (SELECT p_partkey AS TargetID, 2 * p_partkey + 5 AS PromotionID FROM part) b""")
+_add("fk_promotion_usage", "UsageID:n Reason:s", f"""SELECT UsageID, CASE
+       WHEN {_lacks("PromotionID", "promotions")} THEN 'unknown_promotion'
+       WHEN {_lacks("OrderID", "shop_orders")} THEN 'unknown_order'
+       WHEN {_lacks("CustomerID", "customers")} THEN 'unknown_customer' END AS Reason
+     FROM promotion_usage b""")
+
+# Paid orders are delivered once more, others under a new number, pending ones twice; each number is served once.
+_NEW = f"CASE WHEN o_orderstatus <> 'F' THEN {FAR} ELSE 0 END"
+_DELIVERIES = (
+    _REQUESTS.replace("request_headers AS (", "sent_headers AS (")
+    .replace("SELECT o_orderkey AS OrderID,", f"SELECT o_orderkey + {_NEW} AS OrderID, o_orderstatus AS status,")
+    .replace("request_lines AS (", "sent_lines AS (")
+    .replace("SELECT l_orderkey AS OrderID,", f"SELECT l_orderkey + {_NEW} AS OrderID,")
+    .replace("    FROM lineitem),", "    FROM lineitem JOIN main.orders ON o_orderkey = l_orderkey),")
+) + """
+  deliveries AS (
+    SELECT *, 1 AS Delivery FROM sent_headers UNION ALL SELECT *, 2 FROM sent_headers WHERE status = 'P'),
+  admitted AS (
+    SELECT *, CASE WHEN OrderID IN (SELECT OrderID FROM shop_orders) THEN 'order_exists'
+        WHEN Delivery > 1 THEN 'repeated_request'
+        WHEN CustomerID NOT IN (SELECT CustomerID FROM customers) THEN 'unknown_customer' END AS refusal
+    FROM deliveries),
+  request_headers AS (
+    SELECT OrderID, CustomerID, OrderDate, PromotionCode, PaymentMethodID, TotalAmount
+    FROM admitted WHERE refusal IS NULL),
+  request_lines AS (SELECT l.* FROM sent_lines l SEMI JOIN request_headers USING (OrderID)),
+"""
+_add("take_orders_replayed", "OrderID:n Delivery:n Accepted:b Reason:s",
+     """SELECT a.OrderID, a.Delivery, a.refusal IS NULL AND s.OrderID IS NOT NULL AND s.fate IS NULL AS Accepted,
+          CASE WHEN a.refusal IS NOT NULL THEN a.refusal WHEN p.Reason IS NOT NULL THEN p.Reason
+               WHEN a.OrderID IN (SELECT OrderID FROM repeated) THEN 'repeated_book' ELSE s.fate END AS Reason
+        FROM admitted a LEFT JOIN priced p ON p.OrderID = a.OrderID LEFT JOIN served s ON s.OrderID = a.OrderID""",
+     _SERVED, _DELIVERIES)
+
+for _name in ("take_orders", "take_orders_stock", "take_orders_replayed"):
     _ORACLES[_name] = _ORACLES[_name].replace("WITH", "WITH RECURSIVE", 1)
 _ORACLES["stream_validate_orders"] = _ORACLES["validate_orders"]
 _ORACLES["stream_take_orders"] = _ORACLES["take_orders"]
