@@ -134,6 +134,53 @@ def test_running_sums_in_buckets(spark):
     assert sorted(rows(plain)) == sorted(rows(spread))
 
 
+DEMAND = S._struct("OrderID long, Kind int, Quantity long")
+CAPACITY = S._struct("Kind int, Capacity long")
+
+
+def serve(wants: dict[int, dict[int, int]], capacity: dict[int, int]) -> set[int]:
+    left, granted = dict(capacity), set()
+    for number in sorted(wants):
+        if all(left.get(k, 0) >= q for k, q in wants[number].items()):
+            granted.add(number)
+            for k, q in wants[number].items():
+                left[k] -= q
+    return granted
+
+
+def allocated(spark, wants, capacity, fold_rows):
+    demand = spark.createDataFrame([(n, k, q) for n, own in wants.items() for k, q in own.items()], DEMAND)
+    held = spark.createDataFrame(list(capacity.items()), CAPACITY)
+    return allocate(demand.select("OrderID").distinct(), demand, held, ["Kind"], Scratch(spark, "test"), fold_rows)
+
+
+@pytest.mark.parametrize("fold_rows", [0, 30, 120])
+def test_rounds_clusters_and_folds_grant_the_same(spark, fold_rows):
+    dice = random.Random(11)
+    wants = {}
+    for n in dice.sample(range(5000), 260):
+        of = dice.randrange(12) * 10  # twelve shops that share no book, one with most of the orders
+        of = 0 if dice.random() < 0.4 else of
+        wants[n] = {of + k: dice.randint(1, 5) for k in dice.sample(range(6), dice.randint(1, 3))}
+    capacity = {shop * 10 + k: dice.randint(0, 25) for shop in range(12) for k in range(6)}
+    served = allocated(spark, wants, capacity, fold_rows)
+    assert {n for n, in rows(served.granted)} == serve(wants, capacity)
+
+
+def test_a_chain_of_ten_thousand_orders_takes_no_round(spark):
+    """Each wants what the one before leaves: bounds would settle it link by link."""
+    wants = {n: {n: 1, n + 1: 1} for n in range(10_000)}
+    served = allocated(spark, wants, dict.fromkeys(range(10_001), 1), 100_000)
+    assert served.rounds == 0 and {n for n, in rows(served.granted)} == set(range(0, 10_000, 2))
+
+
+def test_chains_are_clusters_of_their_own(spark):
+    wants = {chain * 1000 + n: {chain * 1000 + n: 1, chain * 1000 + n + 1: 1} for chain in range(40) for n in range(60)}
+    capacity = {chain * 1000 + n: 1 for chain in range(40) for n in range(61)}
+    served = allocated(spark, wants, capacity, 500)  # all chains together are more than one task may hold
+    assert served.rounds == 1 and {n for n, in rows(served.granted)} == serve(wants, capacity)
+
+
 def test_no_demand_and_plenty(spark):
     schema = S._struct("OrderID long, Kind int, Quantity long")
     capacity = frame(spark, S._struct("Kind int, Capacity long"), {"Kind": 1, "Capacity": 5})
