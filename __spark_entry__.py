@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlane.plans import catalog, constraints, dashboard, orders, ordering, parties, payments
-from ledgerlane.plans import promotions, revenue, state, validation
+from ledgerlane.plans import promotions, revenue, rollup, state, validation
 from ledgerlane.session import Scratch
 from ledgerlane.sources import batches as B
 from ledgerlane.sources import star
@@ -275,6 +275,21 @@ def _served_once(spark: SparkSession, root: str) -> DataFrame:
     return constraints.take_once(t, *B.deliveries(spark, root), PROMOTION_AS_OF, scratch)[0]
 
 
+def _rolled(report):
+    """A report from the stored rollup."""
+    return _tables_query(lambda t: report(revenue.stored_rollup(t)))
+
+
+def _refreshed(spark: SparkSession, root: str) -> DataFrame:
+    """The days after pending orders came in late: a rollup without them, refreshed where they fall."""
+    orders_now = star.orders(spark, root).select("OrderDate", "CustomerID", "TotalAmount", "PaymentStatus")
+    path = f"{Scratch(spark, 'rollup-refresh').path}/days"
+    late = orders_now.filter("PaymentStatus = 'pending'")
+    rollup.write_rollup(rollup.sales_rollup(orders_now.filter("PaymentStatus <> 'pending'")), path)
+    rollup.refresh(path, orders_now, late)
+    return rollup.daily(rollup.read_rollup(spark, path, rollup.sales_rollup(orders_now)))
+
+
 def _order_drafts(spark: SparkSession, root: str) -> DataFrame:
     return _reasons(validation.validate_orders(*B.draft_orders(spark, root)), "OrderID")
 
@@ -305,6 +320,17 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rev_yearly": _tables_query(revenue.yearly),
     "rev_summary": _sales(revenue.summary),
     "rev_bundle": _sales(lambda t, now: revenue.report_document(revenue.bundle(t, now))),
+    # period reports merged from the rollup
+    "rollup_refresh": _refreshed,
+    "rollup_monthly": _rolled(lambda r: rollup.monthly(r, SALES_AS_OF)),
+    "rollup_weekly": _rolled(lambda r: rollup.weekly(r, SALES_AS_OF)),
+    "rollup_yearly": _rolled(rollup.yearly),
+    "rollup_summary": _rolled(lambda r: rollup.summary(r, SALES_AS_OF)),
+    "rollup_customer_growth": _rolled(lambda r: rollup.customer_growth(r, SALES_AS_OF)),
+    "rollup_sales_trends": _rolled(lambda r: rollup.sales_trends(r, SALES_AS_OF)),
+    "rollup_sales_chart_day": _rolled(lambda r: rollup.sales_chart(r, SALES_AS_OF, "day")),
+    "rollup_order_recency": _rolled(lambda r: rollup.order_recency(r, SALES_AS_OF)),
+    "rollup_order_totals": _rolled(lambda r: rollup.order_totals(r, SALES_AS_OF)),
     # books, customers, suppliers
     "book_list": _tables_query(catalog.book_list),
     "book_lookup": lambda s, d: catalog.book_lookup(
@@ -368,6 +394,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "low_stock_pct": _tables_query(dashboard.low_stock_share),
     "dash_top5_views": _sales(lambda t, now: revenue.report_document(revenue.top_views(t, now))),
     "export_report": _sales(lambda t, now: revenue.report_document(revenue.export_report(t, now))),
+    "dash_all_values": _sales(lambda t, now: revenue.values_document(revenue.full_dashboard(t, now))),
+    "rev_bundle_values": _sales(lambda t, now: revenue.values_document(revenue.bundle(t, now))),
+    "dash_top5_values": _sales(lambda t, now: revenue.values_document(revenue.top_views(t, now))),
+    "export_report_values": _sales(lambda t, now: revenue.values_document(revenue.export_report(t, now))),
     # checks on incoming rows
     "validate_books": lambda s, d: _reasons(
         validation.validate_books(B.book_requests(s, d)), "BookID"),

@@ -7,11 +7,14 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlane.functions import calendar as C
 from ledgerlane.functions.values import or_zero
 from ledgerlane.operators.relational import top_k
 from ledgerlane.plans import dashboard as D
+from ledgerlane.plans import rollup as R
+from ledgerlane.session import Scratch
 from ledgerlane.sources.tables import Tables
 
 
@@ -61,31 +64,41 @@ def summary(t: Tables, as_of: dt.datetime) -> DataFrame:
     )
 
 
-def bundle(t: Tables, as_of: dt.datetime) -> dict[str, DataFrame]:
+def stored_rollup(t: Tables) -> DataFrame:
+    """The rollup of all orders, written once so that every report of a bundle reads days instead of orders."""
+    return Scratch(t.orders.sparkSession, "rollup").save(R.sales_rollup(t.orders), "sales")
+
+
+def bundle(t: Tables, as_of: dt.datetime, rollup: DataFrame | None = None) -> dict[str, DataFrame]:
+    days = stored_rollup(t) if rollup is None else rollup
     return {
-        "weekly": weekly(t, as_of),
-        "monthly": monthly(t, as_of),
-        "yearly": yearly(t),
-        "summary": summary(t, as_of),
+        "weekly": R.weekly(days, as_of),
+        "monthly": R.monthly_revenue(days, as_of),
+        "yearly": R.yearly(days),
+        "summary": R.summary(days, as_of),
     }
 
 
-def full_dashboard(t: Tables, as_of: dt.datetime) -> dict[str, DataFrame]:
-    """All thirteen sections, revenue as its own bundle of four."""
+def full_dashboard(t: Tables, as_of: dt.datetime, rollup: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All thirteen sections, revenue as its own bundle of four.
+
+    Orders are read for the rollup, unless a stored one is given, and for the best customers.
+    """
+    days = stored_rollup(t) if rollup is None else rollup
     return {
-        "overview": D.overview(t, as_of),
-        "monthlyStats": D.monthly(t, as_of),
+        "overview": D.overview(t, as_of, R.order_totals(days, as_of)),
+        "monthlyStats": R.monthly(days, as_of),
         "topBooks": D.top_books(t),
         "topCustomers": D.top_customers(t),
         "lowStockBooks": D.low_stock(t),
         "genreStats": D.genres(t),
         "supplierStats": D.suppliers(t),
         "inventoryStats": D.inventory(t),
-        "customerGrowth": D.customer_growth(t, as_of),
-        "salesTrends": D.sales_trends(t, as_of),
-        "orderStatusStats": D.order_recency(t, as_of),
+        "customerGrowth": R.customer_growth(days, as_of),
+        "salesTrends": R.sales_trends(days, as_of),
+        "orderStatusStats": R.order_recency(days, as_of),
         "newBooksStats": D.new_books(t),
-        **{f"revenueStats.{name}": frame for name, frame in bundle(t, as_of).items()},
+        **{f"revenueStats.{name}": frame for name, frame in bundle(t, as_of, days).items()},
     }
 
 
@@ -151,6 +164,36 @@ def _as_json(sections: dict[str, DataFrame]) -> DataFrame:
     return united
 
 
+#: What tells the rows of a section apart; sections not named have one row.
+SECTION_KEYS = {
+    "weekly": "WeekNumber", "monthly": "Month", "yearly": "Year", "monthlyStats": "Month", "topBooks": "BookID",
+    "topCustomers": "CustomerID", "lowStockBooks": "BookID", "genreStats": "Genre", "supplierStats": "SupplierID",
+    "customerGrowth": "Month", "salesTrends": "Date", "orderStatusStats": "Code",
+}
+
+
+def values_document(sections: dict[str, DataFrame]) -> DataFrame:
+    """Every value of every section as a row (Section, Key, Name, Number, Text), for comparing and charting."""
+
+    def value(frame: DataFrame, name: str):
+        kind = frame.schema[name].dataType
+        if isinstance(kind, T.NumericType):
+            number, text = F.col(name).cast("double"), F.lit(None).cast("string")
+        else:
+            number = F.lit(None).cast("double")
+            text = F.date_format(name, C.DAY) if isinstance(kind, T.DateType) else F.col(name).cast("string")
+        return F.struct(F.lit(name).alias("Name"), number.alias("Number"), text.alias("Text"))
+
+    united = None
+    for section, frame in sections.items():
+        key = SECTION_KEYS.get(section.rpartition(".")[2])
+        own = frame.select(
+            F.lit(section).alias("Section"), (F.col(key).cast("string") if key else F.lit("")).alias("Key"),
+            F.inline(F.array(*(value(frame, c) for c in frame.columns))))
+        united = own if united is None else united.unionByName(own)
+    return united
+
+
 def write_json(sections: dict[str, DataFrame], path: str) -> None:
     """One JSON folder per section; each write is its own distributed job."""
     for name, frame in sections.items():

@@ -145,10 +145,12 @@ _REQUESTS = """
 """.replace("{today}", PROMO_TODAY)
 
 _ORACLES: dict[str, str] = {}
+_COLUMNS: dict[str, str] = {}
 
 
 def _add(name: str, columns: str, body: str, extra: str = "", requests: str = _REQUESTS) -> None:
     """Register a query; ``extra`` holds further common table expressions, ``requests`` those of what comes in."""
+    _COLUMNS[name] = columns
     picked = ", ".join(
         _CASTS[kind].format(c=f'"{column}"') + f' AS "{column}"'
         for column, kind in (item.split(":") for item in columns.split())
@@ -976,5 +978,61 @@ _add("take_orders_replayed", "OrderID:n Delivery:n Accepted:b Reason:s",
 
 for _name in ("take_orders", "take_orders_stock", "take_orders_replayed"):
     _ORACLES[_name] = _ORACLES[_name].replace("WITH", "WITH RECURSIVE", 1)
+# Reports merged from the rollup are those made from orders.
+for _name, _report in (
+    ("monthly", "dash_monthly"), ("weekly", "rev_weekly"), ("yearly", "rev_yearly"), ("summary", "rev_summary"),
+    ("customer_growth", "dash_customer_growth"), ("sales_trends", "dash_sales_trends"),
+    ("sales_chart_day", "dash_sales_chart_day"), ("order_recency", "dash_order_recency"),
+):
+    _ORACLES[f"rollup_{_name}"] = _ORACLES[_report]
+_add("rollup_refresh", "Day:t OrderCount:n Revenue:d UniqueCustomers:n",
+     """SELECT OrderDate AS Day, count(*) AS OrderCount, coalesce(sum(TotalAmount), 0) AS Revenue,
+          count(DISTINCT CustomerID) AS UniqueCustomers FROM shop_orders GROUP BY 1""")
+_add("rollup_order_totals",
+     "TotalOrders:n TotalRevenue:d ActiveCustomers:n OrdersThisMonth:n RevenueThisMonth:d",
+     f"""SELECT count(*) AS TotalOrders, coalesce(sum(TotalAmount), 0) AS TotalRevenue,
+          count(DISTINCT CustomerID) AS ActiveCustomers, count(*) FILTER (WHERE {_LAST_30}) AS OrdersThisMonth,
+          coalesce(sum(TotalAmount) FILTER (WHERE {_LAST_30}), 0) AS RevenueThisMonth FROM shop_orders""")
+
+
+# Bundles, value by value: each section is the report's own SQL, cut to its length and turned on its side.
+def _values(name: str, sections: dict[str, tuple[str, str, str]]) -> None:
+    """``sections``: the section's report, its key ('' for a single row), and how it is cut."""
+    tables, parts = [], []
+    for i, (section, (report, key, cut)) in enumerate(sections.items()):
+        tables.append(f"s{i} AS MATERIALIZED (SELECT * FROM ({_ORACLES[report]}) {cut})")
+        for column, kind in (item.split(":") for item in _COLUMNS[report].split()):
+            number = f"CAST({column} AS DOUBLE)" if kind in "ndx" else "CAST(NULL AS DOUBLE)"
+            text = "CAST(NULL AS VARCHAR)" if kind in "ndx" else f"CAST({column} AS VARCHAR)"
+            parts.append(f"""SELECT '{section}' AS Section, {f'CAST({key} AS VARCHAR)' if key else "''"} AS "Key",
+              '{column}' AS Name, {number} AS Number, {text} AS Text FROM s{i}""")
+    _ORACLES[name] = f"WITH {', '.join(tables)} {' UNION ALL '.join(parts)}"
+
+
+_BUNDLE = {
+    "weekly": ("rev_weekly", "WeekNumber", ""), "monthly": ("rev_monthly", "Month", ""),
+    "yearly": ("rev_yearly", "Year", ""), "summary": ("rev_summary", "", ""),
+}
+_DASHBOARD = {
+    "overview": ("dash_overview", "", ""), "monthlyStats": ("dash_monthly", "Month", ""),
+    "topBooks": ("dash_top_books", "BookID", ""), "topCustomers": ("dash_top_customers", "CustomerID", ""),
+    "lowStockBooks": ("dash_low_stock", "BookID", ""), "genreStats": ("dash_genre", "Genre", ""),
+    "supplierStats": ("dash_supplier", "SupplierID", ""), "inventoryStats": ("dash_inventory", "", ""),
+    "customerGrowth": ("dash_customer_growth", "Month", ""), "salesTrends": ("dash_sales_trends", "Date", ""),
+    "orderStatusStats": ("dash_order_recency", "Code", ""), "newBooksStats": ("dash_new_books", "", ""),
+} | {f"revenueStats.{name}": section for name, section in _BUNDLE.items()}
+_values("rev_bundle_values", _BUNDLE)
+_values("dash_all_values", _DASHBOARD)
+_values("export_report_values", {
+    name: section for name, section in _DASHBOARD.items()
+    if name in ("overview", "topBooks", "topCustomers", "lowStockBooks") or name.startswith("revenueStats.")})
+_values("dash_top5_values", {
+    "topBooks": ("dash_top_books", "BookID", "ORDER BY TotalSold DESC, TotalRevenue DESC, BookID LIMIT 5"),
+    "topCustomers": ("dash_top_customers", "CustomerID", "ORDER BY TotalSpent DESC, OrderCount DESC, CustomerID LIMIT 5"),
+    "lowStockBooks": ("dash_low_stock", "BookID", "ORDER BY Stock, BookID LIMIT 5"),
+    "supplierStats": ("dash_supplier", "SupplierID", "ORDER BY TotalRevenue DESC, BookCount DESC, SupplierID LIMIT 5"),
+    "genreStats": ("dash_genre", "Genre", "ORDER BY TotalRevenue DESC, TotalSold DESC, Genre LIMIT 5"),
+    "monthlyStats": ("dash_monthly", "Month", "ORDER BY Month DESC LIMIT 6"),
+})
 _ORACLES["stream_validate_orders"] = _ORACLES["validate_orders"]
 _ORACLES["stream_take_orders"] = _ORACLES["take_orders"]
