@@ -67,8 +67,6 @@ TAGS = {name: f"SPDX-License-Identifier: {name}" for name in (
     "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")}
 TAG_COSINE = 0.999999
 TEXTS = Path(__file__).with_name("licence_texts")
-#: Windows of up to so many words are compared at each word, longer ones at each part of this size, and where they look best.
-STEP_WORDS = 64
 LICENCE_FILES = ("licence", "license", "copying", "notice", "unlicense")
 
 
@@ -136,12 +134,16 @@ class Windows:
             unit = np.zeros(len(order) + 1)
             for t in own.tokens:
                 unit[place[t]] += idf[t]
-            self.templates.append((len(own.tokens), own.least, unit / np.sqrt(np.sum(unit * unit))))
-        self.squares = np.stack([unit for _, _, unit in self.templates]) ** 2
+            self.templates.append((len(own.tokens), own.least, unit / np.sqrt(np.sum(unit * unit)), not own.full))
+        self.squares = np.stack([unit for _, _, unit, _ in self.templates]) ** 2
         self.least = np.array([(own.least - 1e-6) ** 2 for own in templates])
 
-    def found(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Template, begin, and tokens with their counts, of windows over a page's tokens."""
+    def found(self, words: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Template, begin, and tokens with their counts, of each template's most similar stretch of a page's tokens.
+
+        A stretch is a window of the template's length at any token, or for a short notice a whole line as well.  The
+        cosine of every stretch whose bound allows it is worked out, by letting tokens in and out one at a time.
+        """
         at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
         at = np.where(self.known[at] == words, at, len(self.known))
         # a cosine is at most the norm of that part of the template whose tokens the page has
@@ -149,34 +151,57 @@ class Windows:
         if not can.any():
             return
         square, starts = np.concatenate([[0.0], np.cumsum(self.idf[at] ** 2)]), np.arange(len(words))
+        line_end = np.cumsum(sizes)
+        line_start = line_end - sizes
         for k in np.flatnonzero(can).tolist():
-            size, least, unit = self.templates[k]
+            size, least, unit, whole_lines = self.templates[k]
             dots = np.concatenate([[0.0], np.cumsum((unit * self.idf)[at])])
-            end = np.minimum(starts + size, len(words))
-            bound = (dots[end] - dots[:-1]) / np.sqrt(square[end] - square[:-1])
+            begin, end = starts, np.minimum(starts + size, len(words))
+            if whole_lines:
+                some = sizes > 0
+                begin, end = np.concatenate([begin, line_start[some]]), np.concatenate([end, line_end[some]])
+            bound = (dots[end] - dots[begin]) / np.sqrt(square[end] - square[begin])
             near = np.flatnonzero(bound >= least - 1e-6)
-            if size > STEP_WORDS and len(near):
-                # of each stretch of starts the best, and some between
-                stretch = np.cumsum(np.diff(near, prepend=near[0]) > 1)
-                best = np.lexsort((near, -bound[near], stretch))
-                best = best[np.unique(stretch[best], return_index=True)[1]]
-                near = np.union1d(near[best], near[near % STEP_WORDS == 0])
-            for begin in near.tolist():
-                token, first, tf = np.unique(words[begin:end[begin]], return_index=True, return_counts=True)
-                length = np.sqrt(np.sum((tf * self.idf[at[begin + first]]) ** 2))
-                if dots[end[begin]] - dots[begin] >= (least - 1e-6) * length:
-                    yield k, begin, token, tf
-
-
-def _near_windows(pages: DataFrame, windows: Windows) -> DataFrame:
-    """row, line, template, start, token and tf of the windows that may be near enough."""
-    shared = pages.sparkSession.sparkContext.broadcast(windows)
+            if not len(near):
+                continue
+            length = self._lengths(words, self.idf[at], begin[near], end[near])
+            cosine = np.round((dots[end[near]] - dots[begin[near]]) / length, 6)
+            best = near[np.lexsort((begin[near], -cosine))[0]]
+            token, tf = np.unique(words[begin[best]:end[best]], return_counts=True)
+            yield k, int(begin[best]), token, tf
+
+    @staticmethod
+    def _lengths(words: np.ndarray, weight: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The norm of each stretch, its ends moving on from those of the stretch before."""
+        token, weight = words.tolist(), (weight ** 2).tolist()
+        held: dict[int, int] = {}
+        square, lo, hi, out = 0.0, 0, 0, []
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            if a >= hi or a < lo or b < hi:  # nothing in common, or back to the front
+                held, square, lo, hi = {}, 0.0, a, a
+            for i in range(hi, b):
+                tf = held.get(token[i], 0)
+                held[token[i]] = tf + 1
+                square += (2 * tf + 1) * weight[i]
+            for i in range(lo, a):
+                tf = held[token[i]]
+                held[token[i]] = tf - 1
+                square -= (2 * tf - 1) * weight[i]
+            lo, hi = a, b
+            out.append(square)
+        return np.sqrt(np.maximum(out, 1e-12))
+
+
+def _near_windows(told: DataFrame, windows: Windows) -> DataFrame:
+    """row, line, template, start, token and tf of the most similar stretch for each template."""
+    shared = told.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row, words, sizes in zip(batch["row"].tolist(), batch["words"], batch["sizes"], strict=True):
-                for template, begin, token, tf in shared.value.found(np.asarray(words, np.int64)) if len(words) else ():
+                sizes = np.asarray(sizes, np.int64)
+                for template, begin, token, tf in shared.value.found(np.asarray(words, np.int64), sizes) if len(words) else ():
                     line = int(np.searchsorted(np.cumsum(sizes), begin, "right"))
                     out.append((np.broadcast_to([[row], [line], [template], [begin]], (4, len(token))), token, tf))
             if out:
@@ -185,11 +210,7 @@ def _near_windows(pages: DataFrame, windows: Windows) -> DataFrame:
                     "row": row, "line": line.astype(np.int32), "template": template.astype(np.int32), "start": start.astype(np.int32),
                     "token": np.concatenate([x[1] for x in out]), "tf": np.concatenate([x[2] for x in out])})
 
-    # words and lines as tokens() and lines() give them
-    told = F.transform(lines(F.col("html")), tokens)
-    given = pages.select(
-        "row", F.transform(F.flatten(told), lambda t: F.xxhash64(t)).alias("words"), F.transform(told, lambda x: F.size(x)).alias("sizes"))
-    return given.mapInPandas(run, "row long, line int, template int, start int, token long, tf long")
+    return told.mapInPandas(run, "row long, line int, template int, start int, token long, tf long")
 
 
 def statements(pages: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
@@ -197,61 +218,39 @@ def statements(pages: DataFrame, settings: Settings, scratch: Scratch) -> DataFr
 
     Headers, tags and whole texts come before short notices: a licence's text often stands below "All rights reserved."
 
-    Tokens are counted as 64-bit hashes.  A line's cosine to a template is at most the norm of that part of the
-    template's unit vector whose tokens the line has; lines below the wanted cosine by this bound aren't taken further.
+    Pages are cut into lines and tokens once; tokens are kept and counted as 64-bit hashes.
     """
-    words = F.transform(F.flatten(F.transform(lines(F.col("html")), tokens)), lambda t: F.xxhash64(t))
-    counts = pages.select(F.explode(F.array_distinct(words)).alias("token")).groupBy("token").agg(F.count("*").alias("pages"))
+    cut = F.transform(lines(F.col("html")), tokens)
+    told = pages.select("row", F.explode(F.array(cut)).alias("cut")).select(
+        "row", F.transform(F.flatten("cut"), lambda t: F.xxhash64(t)).alias("words"), F.transform("cut", lambda x: F.size(x)).alias("sizes"))
+    told = scratch.save(told, "words")
+    counts = told.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.count("*").alias("pages"))
     counts = scratch.save(counts, "counts")
-    total = max(1, pages.count())
+    total = max(1, told.count())
 
     # the templates' own tokens: some thousands of numbers, however many pages there are
-    texts = {name: _plain(text) for name, text in TEMPLATES.items()}
-    told = sorted({t for own in texts.values() for t in own})
     wide = window_templates(settings)
-    every = sorted({*told, *(t for own in wide for t in own.tokens)})
+    every = sorted({t for own in wide for t in own.tokens})
     keys = pages.sparkSession.createDataFrame([(t,) for t in every], "text string").select("text", F.xxhash64("text").alias("token"))
     seen = {r.text: (r.token, r.pages) for r in keys.join(counts, "token", "left").select("text", "token", "pages").collect()}
     idf = {t: math.log((total + 1) / ((seen[t][1] or 0) + 1)) + 1 for t in every}
-    share = {}
-    for name, own in texts.items():
-        norm = math.sqrt(sum((own.count(t) * idf[t]) ** 2 for t in set(own)))
-        share |= {(name, t): own.count(t) * idf[t] / norm for t in sorted(set(own))}
-
-    line = pages.select("row", F.posexplode(lines(F.col("html"))).alias("line", "text")).select(
-        "row", "line", tokens(F.col("text")).alias("tokens"))
-    line = line.where(F.arrays_overlap("tokens", F.array(*map(F.lit, told))))
-    bound = F.greatest(*(
-        sum((F.when(F.array_contains("tokens", t), w * w).otherwise(0.0) for (n, t), w in share.items() if n == name), F.lit(0.0))
-        for name in TEMPLATES))
-    terms = line.where(bound >= settings.cosine ** 2 - 1e-9).select("row", "line", F.explode("tokens").alias("text"))
-    terms = terms.groupBy("row", "line", F.xxhash64("text").alias("token")).agg(F.count("*").alias("tf"))
-    w = F.col("tf") * (F.log(F.lit(float(total + 1)) / (F.col("pages") + 1)) + 1)
-    terms = scratch.save(terms.join(counts, "token").select("row", "line", "token", w.alias("w")), "terms")
-    lengths = terms.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    parts = pages.sparkSession.createDataFrame(
-        [(n, t, v) for (n, t), v in share.items()], "licence string, text string, share double",
-    ).select("licence", F.xxhash64("text").alias("token"), "share")
-    dots = terms.join(F.broadcast(parts), "token").groupBy("row", "line", "licence").agg(
-        F.sum(F.col("w") * F.col("share")).alias("dot"))
-    found = dots.join(lengths, ["row", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
-    found = found.select("row", F.lit(False).alias("full"), "line", "licence", "cosine", F.lit(settings.cosine).alias("least"))
-
-    near = scratch.save(_near_windows(pages, Windows(wide, {t: h for t, (h, _) in seen.items()}, idf)), "windows")
-    near = near.groupBy("row", "line", "template", "start", "token").agg(F.sum("tf").alias("tf")).join(counts, "token")
+
+    near = scratch.save(_near_windows(told, Windows(wide, {t: h for t, (h, _) in seen.items()}, idf)), "windows")
+    near = near.groupBy("row", "line", "template", "start", "token").agg(F.max("tf").alias("tf")).join(counts, "token")
     square = {k: sum((own.tokens.count(t) * idf[t]) ** 2 for t in set(own.tokens)) for k, own in enumerate(wide)}
     units = pages.sparkSession.createDataFrame(
         [(k, seen[t][0], own.tokens.count(t) * idf[t] / math.sqrt(square[k])) for k, own in enumerate(wide) for t in sorted(set(own.tokens))],
         "template int, token long, share double")
     kinds = pages.sparkSession.createDataFrame(
         [(k, own.licence, own.full, own.least) for k, own in enumerate(wide)], "template int, licence string, full boolean, least double")
+    w = F.col("tf") * (F.log(F.lit(float(total + 1)) / (F.col("pages") + 1)) + 1)
     compared = near.withColumn("w", w).join(F.broadcast(units), ["template", "token"], "left").groupBy(
         "row", "line", "template", "start").agg(
             F.sum(F.col("w") * F.col("share")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    wider = compared.join(F.broadcast(kinds), "template").select(
+    found = compared.join(F.broadcast(kinds), "template").select(
         "row", "full", "line", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "least")
     best = F.max(F.struct("full", "cosine", -F.col("line"), "licence"))
-    return found.unionByName(wider).where(F.col("cosine") >= F.col("least")).groupBy("row").agg(best.alias("best")).select(
+    return found.where(F.col("cosine") >= F.col("least")).groupBy("row").agg(best.alias("best")).select(
         "row", "best.licence", "best.cosine")
 
 
