@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlane.llm.tables import row_key, spare
 from ledgerlane.llm.words import LETTERS, mix, odd_weights, steps, windows, word_hashes
 
 #: Items are taken in blocks of so many characters, each a pass over the documents; a block is what is broadcast.
@@ -261,5 +262,12 @@ def passages(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> DataF
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> DataFrame:
-    """The rows of docs whose doc_id has no passage of an item; rows with a null doc_id stay."""
-    return docs.join(passages(docs, benchmark, settings).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of docs without a passage of an item, by id and text: rows that share an id are judged one by one.
+
+    Null and empty texts hold nothing and stay; null ids are no matter.  Repeated rows stay or go together.  Columns of any
+    name are kept.  No documents: an empty result; no items: all rows.
+    """
+    key = spare("row", docs.columns)
+    keyed = docs.withColumn(key, row_key())
+    held = passages(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, settings)
+    return keyed.join(held.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)

@@ -27,14 +27,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.components import components
+from ledgerlane.llm.tables import row_key
 from ledgerlane.llm.words import mix, odd_weights, shingle_sets
+from ledgerlane.operators.components import components
 from ledgerlane.session import Scratch
 
 #: Places on the circle; far more than a text has shingles.
 CIRCLE = 1 << 20
 #: Parts into which the nodes of a hub are dealt where they are joined with its set.
 SALTS = 32
+#: Bits of one of Spark's bitmaps.
+BITMAP = 32_768
 
 
 @dataclass(frozen=True)
@@ -84,20 +87,21 @@ def band_keys(shingles: np.ndarray, settings: Settings) -> np.ndarray:
 
 
 def described(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, n_shingles, and for texts with words the node (hash of the set) and its bands."""
+    """doc_id, row (a hash of id and text), n_shingles, and for texts with words the node (hash of the set) and its bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), settings.words)
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
+                "row": batch["row"],
                 "n_shingles": [len(s) for s in sets],
                 "node": pd.array([set_key(s) if len(s) else None for s in sets], dtype="Int64"),
                 "bands": [band_keys(s, settings) if len(s) else None for s in sets],
             })
 
-    schema = "doc_id long, n_shingles long, node long, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    schema = "doc_id long, row long, n_shingles long, node long, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInPandas(run, schema)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -156,55 +160,72 @@ def _many(entries: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
     """The pairs of crowded buckets that can still be links, by how their sets differ from one common set, the hub's.
 
     The hub is here the node that meets most others in the bucket's main component, so that a family of copies has one.
-    With d of the hub's h shingles missing and u others instead, a node weighs w = (100 d + p u) / (100 + p), and two
-    nodes are a link only if their differences share w + w' - h (100 - p) / (100 + p) shingles or more.  So only pairs
-    that share one of their rarest differences, with enough others behind it, need comparing, and one of the two isn't
-    linked with the hub.
+    With d of the hub's h shingles missing and u others instead, a node weighs w = (100 d + p u) / (100 + p); it is linked
+    with the hub if w <= h (100 - p) / (100 + p), and two nodes only if their differences share w + w' - h (100 - p) / (100 + p)
+    shingles or more.  Nodes of other components that are linked with the hub go with it.  The others seek among all nodes:
+    only pairs that share an early one of their differences, with enough others behind it, need comparing.  Two nodes of the
+    main component, or two linked with the hub, are connected already.
     """
     p = percent
     own = sets.select("node", F.col("set").alias("own"))
-    entries = entries.select("node", "hub", "label", "size").distinct().withColumn("salt", F.pmod("node", F.lit(SALTS)))
+    entries = entries.select("node", "hub", "label", "main", "size").distinct().withColumn(
+        "salt", F.pmod("node", F.lit(SALTS)))
     # a hub's set is copied for each salt, so that a large family isn't one task
     hubs = sets.join(entries.select(F.col("hub").alias("node")).distinct(), "node").select(
         F.col("node").alias("hub"), F.col("set").alias("common"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     apart = (
         entries.join(own, "node").join(hubs, ["hub", "salt"])
-        .select("node", "hub", "label", "size", F.size("common").alias("h"),
+        .select("node", "hub", "label", "main", "size", F.size("common").alias("h"),
                 F.array_except("common", "own").alias("missing"), F.array_except("own", "common").alias("instead"))
         .withColumn("w", 100 * F.size("missing") + p * F.size("instead"))  # weights times 100 + p, in whole numbers
         .withColumn("over", F.col("w") - F.col("h") * (100 - p))
         .withColumn("n", F.size("missing") + F.size("instead"))
-        .withColumn("reach", F.greatest(
-            F.col("n") - F.floor(F.col("w") / (100 + p)),
-            F.when(F.col("over") > 0, F.col("n") + 1 - F.ceil(F.col("over") / (100 + p))).otherwise(0)))
+        .withColumn("seeks", (F.col("over") > 0) & (F.col("label") != F.col("main")))
+        .withColumn("seek_reach", F.when(F.col("seeks"), F.col("n") + 1 - F.ceil(F.col("over") / (100 + p))).otherwise(0))
+        .withColumn("reach", F.col("n") - F.floor(F.col("w") / (100 + p)))
+        .withColumn("parts", F.concat("instead", "missing"))
+        .drop("missing", "instead")
     )
-    # The order of differences: what is there instead, rarest first, then what is missing.  Of the first, those that only
-    # one component's nodes have can't be shared by an open pair; they lead every node's order and aren't joined.
-    about = ["node", "hub", "label", "size", "h", "w", "over", "n", "reach"]
-    instead = apart.select(*about, F.size("instead").alias("before"), F.explode("instead").alias("part"))
-    frequent = instead.groupBy("hub", "part").agg(
-        F.count("*").alias("often"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2")
+    # written, since all that follows reads it: one plan for all of this costs the driver much memory
+    apart = scratch.save(apart, "differences")
+    with_hub = apart.where((F.col("over") <= 0) & (F.col("label") != F.col("main"))).select(
+        F.col("node").alias("u"), F.col("hub").alias("v"))
+
+    # One order of differences for all nodes of a hub: by how many seekers have them, rarest first.  Those that no seeker
+    # has lead every node's order; a bitmap of what seekers have keeps nearly all of them from being spread out.
+    about = ["hub", "node", "label", "size", "h", "w", "n"]
+    seeking = scratch.save(
+        apart.where("seek_reach > 0").select(*about, F.col("seek_reach").alias("far"), F.explode("parts").alias("part")), "seeking")
+    asked = scratch.save(seeking.groupBy("hub", "part").agg(
+        F.count("*").alias("often"), F.min("label").alias("least"), F.max("label").alias("most")), "asked")
+    seen = asked.groupBy("hub").agg(F.bitmap_construct_agg(F.pmod("part", F.lit(BITMAP))).alias("seen"))
+    byte = lambda x: F.conv(F.hex(F.substring(
+        F.col("seen"), (F.floor(F.pmod(x, F.lit(BITMAP)) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_seen = lambda x: byte(x).bitwiseAND(F.element_at(
+        F.array(*(F.lit(1 << k) for k in range(8))), (F.pmod(x, F.lit(8)) + 1).cast("int"))) != 0
+    near = apart.join(seen, "hub").select(
+        *about, F.col("reach").alias("far"), F.explode(F.filter("parts", is_seen)).alias("part"))
     node = Window.partitionBy("hub", "node")
-    place = F.col("before") - F.count("*").over(node) + F.row_number().over(node.orderBy("often", "part"))
-    placed = instead.join(frequent, ["hub", "part"]).withColumn("place", place).select(*about, "part", "place")
-    rest = F.greatest(F.col("reach") - F.size("instead"), F.lit(0)).cast("int")
-    missing = apart.select(
-        *about, F.size("instead").alias("before"),
-        F.posexplode(F.slice(F.array_sort("missing"), F.lit(1), rest)).alias("at", "part"),
-    ).select(*about, "part", (F.col("before") + F.col("at") + 1).alias("place"))
-    # written, since both sides of the join read it: one plan for all of this costs the driver much memory
-    placed = scratch.save(placed.unionByName(missing).where("place <= reach"), "differences")
-    seekers = placed.where("over > 0").where(F.col("place") <= F.col("n") + 1 - F.ceil(F.col("over") / (100 + p)))
-    sought = placed.where(F.col("place") <= F.col("n") - F.floor(F.col("w") / (100 + p)))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        place = F.col("n") - F.count("*").over(node) + F.row_number().over(node.orderBy("often", "part"))
+        return rows.join(asked, ["hub", "part"]).withColumn("place", place).where("place <= far").drop("often", "far")
+
+    seekers = scratch.save(placed(seeking), "seekers")
+    sought = scratch.save(placed(near), "sought")
+    # parts that only one component's nodes have lead to no pair
+    shared = sought.groupBy("hub", "part").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).join(
+        asked, ["hub", "part"]).where("l1 != l2 or least != most or l1 != least").select("hub", "part")
     side = lambda rows, name: rows.select(
         "hub", "part", F.col("node").alias(name), "h", *(F.col(c).alias(f"{c}_{name}") for c in ("label", "size", "w", "n", "place"))
     )
-    pairs = side(seekers, "u").join(side(sought, "v").drop("h"), ["hub", "part"])
+    found = side(seekers.join(shared, ["hub", "part"]), "u").join(side(sought, "v").drop("h"), ["hub", "part"])
     fits = 100 * F.least("size_u", "size_v") >= p * F.greatest("size_u", "size_v")
     # the first difference that a pair shares leaves so many at most that it can share
     rest = 1 + F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v"))
     enough = (100 + p) * rest >= F.col("w_u") + F.col("w_v") - F.col("h") * (100 - p)
-    return pairs.where((F.col("label_u") != F.col("label_v")) & fits & enough).select("u", "v")
+    found = found.where((F.col("label_u") != F.col("label_v")) & fits & enough)
+    return found.select("u", "v").unionByName(with_hub)
 
 
 def _open_pairs(
@@ -212,28 +233,28 @@ def _open_pairs(
 ) -> DataFrame:
     """The pairs of each bucket that are not yet connected and that can be links; each step is a written table."""
     known = labels.select("node", F.col("component").alias("label"))
-    entries = met.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    entries = met.select("key", "node", "size").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
     shares = entries.groupBy("key", "label").agg(F.count("*").alias("n"))
     buckets = shares.groupBy("key").agg(
         F.max(F.struct("n", F.col("label").alias("main"))).alias("most"), F.sum("n").alias("members"),
         F.count("*").alias("labels"),
     ).where("labels > 1").select("key", "most.main", "members")
-    entries = scratch.save(
-        entries.join(buckets, "key").select("key", "node", "size", "label", "main", "members"), "open")
-    few = _few(entries.where(F.col("members") <= settings.crowd), settings.percent)
     leads = fame.join(labels, "node").groupBy(F.col("component").alias("main")).agg(
         F.max(F.struct("fame", F.col("node").alias("hub"))).alias("most")).select("main", "most.hub")
-    crowds = entries.where(F.col("members") > settings.crowd).join(leads, "main", "left")
-    crowds = crowds.withColumn("hub", F.coalesce("hub", "main"))
-    many = _many(crowds, sets, settings.percent, scratch)
+    # hubs join the buckets, of which a large family has far fewer than entries
+    buckets = buckets.join(leads, "main", "left").withColumn("hub", F.coalesce("hub", "main"))
+    entries = scratch.save(entries.join(buckets, "key"), "open")
+    few = _few(entries.where(F.col("members") <= settings.crowd), settings.percent)
+    many = _many(entries.where(F.col("members") > settings.crowd), sets, settings.percent, scratch)
     either = few.unionByName(many)
     return scratch.save(
         either.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "open-pairs")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
-    """doc_id, n_shingles, links, component_id and kept for every row of docs(doc_id, text, ...).
+    """doc_id, row, n_shingles, links, component_id and kept for every row of docs(doc_id, text, ...).
 
+    ``row`` is ``row_key()``, which tells apart rows that share an id.
     ``links`` counts the confirmed links of the row's set with other sets that were needed to connect its component;
     copies with an equal set count as one.  Only doc_id and text are read, so other columns may have any name.
     Null and empty texts have no shingles and stand alone.  Rows with a null doc_id stand alone with a null component_id
@@ -277,10 +298,10 @@ def near_duplicates(docs: DataFrame, settings: Settings, scratch: Scratch) -> Da
     # Rows without words stand alone; they are dealt by their id, not by the one null.
     out = rows.where("node is not null and doc_id is not null").drop("bands").join(placed, "node")
     alone = rows.where("node is null or doc_id is null").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).alias("links"))
-    out = out.select("doc_id", "n_shingles", "component_id", "links").unionByName(alone)
+        "doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).alias("links"))
+    out = out.select("doc_id", "row", "n_shingles", "component_id", "links").unionByName(alone)
     return out.select(
-        "doc_id", "n_shingles", "component_id", "links",
+        "doc_id", "row", "n_shingles", "component_id", "links",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
 

@@ -1,16 +1,16 @@
 """Personal data: four fixed patterns, and identifiers found by bootstrapping from them.  Built-in functions only.
 
-Matches of the fixed patterns are the seeds.  The word before a number-like token and the token's shape make a lexical
-pattern; pattern and token are the two sides of a graph.  Scores go back and forth: a pattern is as good as the tokens
-it stands with, a token as good as its patterns, seeds always being 1.  Tokens of patterns with a high score that were no
-seeds are new identifiers.
+Matches of the fixed patterns are the seeds.  The word before a token with a digit or an @ and the token's shape make a
+lexical pattern; pattern and token are the two sides of a graph.  A pattern's score is the share of known identifiers
+among what it stands with, a token's the share of good patterns among where it stands.  Tokens with a high score become
+known and count for further patterns, until nothing new is found.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.tables import spare, whole
@@ -25,17 +25,16 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "found"
 
-#: A token that has a digit, between white space, brackets, quotes and the like.
-TOKEN = r"""(?<![^\s="'(),;:<>\[\]{}|])(?=[^\s="'(),;:<>\[\]{}|0-9]*+[0-9])[^\s="'(),;:<>\[\]{}|]++"""
-#: The last word of what stands before a token; at most so many characters of it are looked at.
-BEFORE, NEAR = r"""([^\s="'(),;:<>\[\]{}|0-9]+)[\s="'(),;:<>\[\]{}|]*$""", 64
+#: What ends a token.
+_ENDS = "\t\n\x0b\f\r=\"'(),;:<>[]{}|"
+#: A token that has a digit or an @, between white space, brackets, quotes and the like.
+TOKEN = r"""(?<![^\s="'(),;:<>\[\]{}|])(?=[^\s="'(),;:<>\[\]{}|0-9@]*+[0-9@])[^\s="'(),;:<>\[\]{}|]++"""
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Rounds of scoring; the score that a pattern and a token need; seeds that a pattern needs; digits of an identifier."""
+    """The score that a pattern and a token need; known identifiers that a pattern needs; digits of a new identifier."""
 
-    rounds: int = 3
     pattern_score: float = 0.9
     token_score: float = 0.5
     seeds: int = 20
@@ -67,10 +66,16 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, then) -> Column:
+    """``then`` of the value, which is worked out once however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _spans(text: Column, pattern: str, keep, extra) -> Column:
     """Array of (start, end, *extra) of the pattern's matches that are kept, in code points.
 
-    What stands between matches and the matches themselves, laid end to end, give the places.
+    What stands between matches and the matches themselves, laid end to end, give the places.  An array that grows is copied
+    at each step, so matches are taken in runs of about the root of their number, each counting from its own begin.
     """
     between = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -84,7 +89,20 @@ def _spans(text: Column, pattern: str, keep, extra) -> Column:
     step = lambda s, x: F.struct(
         (s["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("long").alias("at"),
         F.coalesce(kept(s, x), s["rows"]).cast(kind).alias("rows"))
-    return F.aggregate(pairs, start, step, lambda s: s["rows"])
+
+    def runs(p: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(p))), F.lit(1)).cast("int")
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1)), size)
+        return F.transform(firsts, lambda k: F.aggregate(F.slice(p, k, size), start, step))
+
+    moved = lambda s, r: F.struct(
+        (s["at"] + r["start"]).cast("long").alias("start"), (s["at"] + r["end"]).cast("long").alias("end"),
+        *(r[name].alias(name) for name in extra.names))
+    whole_start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("rows"))
+    joined = lambda s, run: F.struct(
+        (s["at"] + run["at"]).cast("long").alias("at"),
+        F.concat(s["rows"], F.array(F.transform(run["rows"], lambda r: moved(s, r)).cast(kind))).alias("rows"))
+    return F.aggregate(_bound(pairs, runs), whole_start, joined, lambda s: F.flatten(s["rows"]))
 
 
 class _Extra:
@@ -117,34 +135,59 @@ def _written(kind: str, spans: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """Number-like tokens with their places, the word before and the shape."""
-    last = lambda x: F.lower(F.regexp_extract(F.right(x["gap"], F.lit(NEAR)), BEFORE, 1))
+    """Tokens with a digit or an @, with their places, the word before and the shape."""
+    spaced = lambda x: F.rtrim(F.translate(x["gap"], _ENDS, " " * len(_ENDS)))
+    last = lambda x: F.lower(F.substring_index(spaced(x), " ", -1))
     shape = lambda x: F.regexp_replace(F.regexp_replace(x["hit"], r"\p{L}+", "a"), "[0-9]+", "9")
     extra = _Extra(before=last, shape=shape, token=lambda x: F.lower(x["hit"]))
     spans = _spans(text, TOKEN, lambda hit: F.lit(True), extra)
     none = F.array().cast("array<struct<start:bigint,end:bigint,before:string,shape:string,token:string>>")
-    return F.when(text.rlike("[0-9]"), spans).otherwise(none)
+    return F.when(text.rlike("[0-9@]"), spans).otherwise(none)
 
 
-def _graph_scores(edges: DataFrame, settings: Settings, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(before, shape, score, seeds) of patterns and (token, score) of tokens, from (before, shape, token, n, seed).
+def _marked(tokens: str, seeds: str) -> Column:
+    """The tokens, each with ``seed``: whether a seed overlaps it.
 
-    Edges are counted before, so that a frequent pattern or token is one row for each pair; sums have a partial step.
+    Tokens are taken in runs of about the root of their number, each with the seeds of its stretch of the text.
+    """
+    size = F.ceil(F.sqrt(F.size(tokens))).cast("int")
+    firsts = F.sequence(F.lit(1), F.size(tokens), size)
+    over = lambda s, a, b: (s["start"] < b) & (a < s["end"])
+
+    def told(run: Column) -> Column:
+        near = F.filter(seeds, lambda s: over(s, run[0]["start"], F.element_at(run, -1)["end"]))
+        return _bound(near, lambda own: F.transform(run, lambda t: F.struct(
+            *(t[c].alias(c) for c in ("start", "end", "before", "shape", "token")),
+            F.exists(own, lambda s: over(s, t["start"], t["end"])).alias("seed"))))
+
+    return F.flatten(F.transform(firsts, lambda k: _bound(F.slice(tokens, k, size), told)))
+
+
+def _grown(edges: DataFrame, settings: Settings, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Good patterns (before, shape) and known tokens (token), from (before, shape, token, n, seed).
+
+    Known tokens and good patterns only ever get more, so the rounds end; each is a written table.  Edges are counted
+    before, so that a frequent pattern or token is one row for each pair; sums have a partial step.
     """
     pattern = ["before", "shape"]
-    tokens = scratch.save(edges.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("score")), "tokens-0")
-    patterns = None
-    for step in range(1, settings.rounds + 1):
-        known = edges.join(tokens, "token")
-        patterns = scratch.save(known.groupBy(*pattern).agg(
-            (F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("score"),
-            F.sum(F.col("seed").cast("int")).alias("seeds"),
-        ), f"patterns-{step}")
-        told = edges.join(patterns.select(*pattern, F.col("score").alias("own")), pattern)
-        tokens = scratch.save(told.groupBy("token").agg(
-            F.when(F.max("seed"), 1.0).otherwise(F.sum(F.col("n") * F.col("own")) / F.sum("n")).alias("score"),
-        ), f"tokens-{step}")
-    return patterns, tokens
+    known = scratch.save(edges.where("seed").select("token").distinct(), "known-0")
+    stands = scratch.save(edges.groupBy("token").agg(F.sum("n").alias("everywhere")), "stands")
+    size, step = known.count(), 0
+    while True:
+        step += 1
+        marked = edges.join(known.withColumn("known", F.lit(True)), "token", "left")
+        good = scratch.save(marked.groupBy(*pattern).agg(
+            (F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)) / (F.sum("n") + 1)).alias("score"),
+            F.count("known").alias("support"),
+        ).where((F.col("score") >= settings.pattern_score) & (F.col("support") >= settings.seeds)).select(*pattern), f"good-{step}")
+        told = edges.join(good, pattern).groupBy("token").agg(F.sum("n").alias("here")).join(stands, "token")
+        likely = told.where(
+            (F.col("here") >= settings.token_score * F.col("everywhere"))
+            & (F.length(_digits(F.col("token"))) >= settings.digits)).select("token")
+        known = scratch.save(known.unionByName(likely).distinct(), f"known-{step}")
+        before, size = size, known.count()
+        if size == before:
+            return good, known
 
 
 def personal_data(docs: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
@@ -163,19 +206,15 @@ def personal_data(docs: DataFrame, settings: Settings, scratch: Scratch) -> Data
     looked = scratch.save(looked, "spans")
 
     seeds = F.flatten(F.array(*(F.col(kind) for kind in KINDS)))
-    each = looked.where(F.size("tokens") > 0).select("row", F.transform("tokens", lambda t: F.struct(
-        *(t[c].alias(c) for c in ("start", "end", "before", "shape", "token")),
-        F.exists(seeds, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])).alias("seed"),
-    )).alias("tokens")).select("row", F.inline("tokens"))
+    each = looked.where(F.size("tokens") > 0).withColumn("seeds", seeds).select(
+        "row", _marked("tokens", "seeds").alias("tokens")).select("row", F.inline("tokens"))
     each = each.where("before != ''")
     edges = scratch.save(each.groupBy("before", "shape", "token").agg(
         F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
-    patterns, tokens = _graph_scores(edges, settings, scratch)
-    good = patterns.where((F.col("score") >= settings.pattern_score) & (F.col("seeds") >= settings.seeds))
-    likely = tokens.where(F.col("score") >= settings.token_score).select("token")
+    good, known = _grown(edges, settings, scratch)
     new = (
         each.where(~F.col("seed") & (F.length(_digits(F.col("token"))) >= settings.digits))
-        .join(good.select("before", "shape"), ["before", "shape"]).join(likely, "token")
+        .join(good, ["before", "shape"]).join(known, "token")
         .select("row", "start", "end").distinct()
         .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found"))
     )
@@ -208,20 +247,25 @@ def masked(docs: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     row, mark = spare("row", docs.columns), spare("marks", docs.columns)
     every = F.array_sort(F.flatten(F.array(*(tagged(kind) for kind in (*KINDS, FOUND)))))
     marks = spans.select(F.col("row").alias(row), every.alias(mark)).where(F.size(mark) > 0).dropDuplicates([row])
-    text = F.col("text")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(s: Column, m: Column) -> Column:
-        gap = F.substring(text, (s["at"] + 1).cast("int"), F.greatest(m["start"] - s["at"], F.lit(0)).cast("int"))
-        grown = F.when(m["start"] >= s["at"], F.concat(s["parts"], F.array(gap, m["tag"]))).otherwise(s["parts"])
-        return F.struct(F.greatest(m["end"], s["at"]).alias("at"), grown.alias("parts"))
+    # what begins before an earlier span's end goes with it; then each span with the end of the one before
+    turn = Window.partitionBy(row).orderBy("start", "end", "tag")
+    each = marks.select(row, F.inline(mark))
+    each = each.withColumn("past", F.max("end").over(turn.rowsBetween(Window.unboundedPreceding, -1)))
+    each = each.where(F.col("past").isNull() | (F.col("start") >= F.col("past")))
+    each = each.withColumn("past", F.coalesce(F.lag("end").over(turn), F.lit(0)))
+    marks = each.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "past", "end", "tag"))).alias(mark))
+
+    def without(chars: Column) -> Column:
+        stretch = lambda first, last: F.array_join(F.slice(chars, (first + 1).cast("int"), (last - first).cast("int")), "")
+        parts = F.transform(F.col(mark), lambda m: F.concat(stretch(m["past"], m["start"]), m["tag"]))
+        length = F.length("text").cast("long")
+        rest = stretch(F.least(F.element_at(mark, -1)["end"], length), length)
+        return F.concat(F.array_join(parts, ""), rest)
 
-    rest = lambda s: F.array_join(F.concat(
-        s["parts"], F.array(F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))), "")
     has = F.col(mark).isNotNull()
     keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), whole()))
     out = keyed.join(marks, row, "left").withColumn(
-        "text", F.when(has, F.aggregate(mark, start, step, rest)).otherwise(text))
+        "text", F.when(has, _bound(F.split("text", ""), without)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(has, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -64,7 +64,8 @@ def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), near_dup.Settings(), scratch(spark, "op9"))
+    found = near_dup.near_duplicates(read(spark, sf_dir, "documents"), near_dup.Settings(), scratch(spark, "op9"))
+    return found.drop("row")
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

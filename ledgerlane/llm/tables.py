@@ -22,6 +22,11 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def row_key() -> Column:
+    """A hash of a row's doc_id and text: rows that share an id are different rows where their texts differ."""
+    return F.xxhash64(F.col("doc_id").cast("long"), whole())
+
+
 def spare(name: str, columns: list[str]) -> str:
     """The name, made longer until no column has it."""
     taken = {c.lower() for c in columns}

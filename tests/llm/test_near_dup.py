@@ -7,7 +7,7 @@ import pytest
 from texts import SMALL, collected, documents
 
 from ledgerlane.llm import near_dup
-from ledgerlane.llm.components import components
+from ledgerlane.operators.components import components
 from ledgerlane.llm.near_dup import AT_80, Settings, near_duplicates
 from ledgerlane.llm.tables import read, scratch
 from ledgerlane.llm.words import shingle_sets
@@ -119,3 +119,37 @@ def test_components_of_paths_and_stars(spark):
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
     assert got == want
     assert components(df.where("u < 0"), scratch(spark, "t"), "c").count() == 0
+
+
+def test_a_crowded_bucket_may_have_another_components_hub(spark):
+    """A node of another component that is near the hub is a link, though it has no difference that leads to it."""
+    hub = list(range(1000, 1200))
+    sets = {1: hub, 2: [*hub[:199], 7], 3: [*hub[:198], 8, 9], 4: [*hub[:150], *range(50)], 5: [*hub[:150], *range(49), 77], 6: list(range(300))}
+    frame = spark.createDataFrame([(n, own) for n, own in sets.items()], "node long, set array<long>")
+    labels = {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+    entries = spark.createDataFrame([(n, 1, labels[n], 1, len(sets[n])) for n in sets], "node long, hub long, label long, main long, size int")
+    got = {tuple(sorted((r.u, r.v))) for r in near_dup._many(entries, frame, 80, scratch(spark, "t")).collect()}
+    assert {(1, 3), (4, 5)} <= got and not any(6 in pair for pair in got)
+
+
+def test_families_in_buckets_with_foreign_hubs(spark):
+    """Families over one shared passage, so that buckets hold several of them."""
+    rng = random.Random(31)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(6):
+        own = [f"f{k}w{rng.randrange(300)}" for _ in range(70)]
+        for i in range(14):
+            words = [*own[:rng.choice([8, 30, 70])], *passage]
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10 ** 6)}"
+            rows.append((100 * k + i, " ".join(words)))
+    for settings in (Settings(crowd=3), Settings(percent=80, bands=31, rows=4, crowd=2)):
+        check(spark, rows, settings)
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    text, other = "the same words again and again in a row", "something else that nobody has copied so far"
+    found = near_duplicates(documents(spark, [(1, text), (5, text), (5, other)]), Settings(), scratch(spark, "t"))
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(1, 1), (5, 1), (5, 5)]
+    assert found.select("row").distinct().count() == 3

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from texts import SMALL, documents
 
@@ -90,3 +91,26 @@ def test_masking_and_odd_rows(spark):
     assert masked(docs.limit(0), Settings(), scratch(spark, "t")).count() == 0
     plan = digest(personal_data(docs, Settings(), scratch(spark, "t")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_identifiers_are_found_over_several_hops(spark):
+    """Seeds teach one word, what follows that word teaches the next; addresses without a digit are seeds too."""
+    rows = [(i, f"mail {'abcdefghij'[i % 10]}{'klmnop'[i // 10]}@x.example now") for i in range(40)]
+    rows += [(100 + i, f"address 10.0.{i}.7 is") for i in range(250)]
+    rows += [(400 + i, f"address 10.0.{300 + i}.9 is") for i in range(22)]  # no seeds, known by their word
+    rows += [(500 + i, f"backup 10.0.{300 + i}.9 is") for i in range(22)]  # that word now has known tokens only
+    rows += [(600, "backup 10.0.999.9 is"), (601, "pages 10.0.999.8 is"), (602, "mail 12@y now")]
+    got = {r.doc_id: r.spans for r in digest(personal_data(documents(spark, rows), Settings(), scratch(spark, "t"))).collect()}
+    assert all(got[400 + i] == "found:8:18" and got[500 + i] == "found:7:17" for i in range(22))
+    assert got[600] == "found:7:17" and got[601] == ""
+
+
+def test_a_hundred_thousand_tokens_in_a_text(spark):
+    text = " ".join(str(10 ** 5 + i) for i in range(100_000)) + " a@b.cd"
+    mails = "a@b.cd, " * 20_000
+    docs = documents(spark, [(1, text), (2, mails)])
+    began = time.time()
+    got = {r.doc_id: r for r in digest(personal_data(docs, Settings(), scratch(spark, "t"))).collect()}
+    assert got[1].spans.endswith(f"email:{len(text) - 6}:{len(text)}") and got[2].n_email == 20_000
+    assert {r.text[:9] for r in masked(docs.where("doc_id = 2"), Settings(), scratch(spark, "t")).collect()} == {"[email], "}
+    assert time.time() - began < 90
