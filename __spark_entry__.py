@@ -22,6 +22,7 @@ from ledgerlane.sources import star
 from ledgerlane.sources.tables import Tables
 from ledgerlane.streaming import orders as intake
 from ledgerlane.streaming import sales
+from ledgerlane.streaming.replay import replay
 from oracles.sql import oracle_sql as _oracle_sql
 
 try:
@@ -261,6 +262,67 @@ def _streamed_intake(spark: SparkSession, root: str) -> DataFrame:
     return log.read("decisions", decided, -1, query.lastProgress["batchId"] + 1).drop("batch")
 
 
+def _purchases_replayed(spark: SparkSession, root: str, build, scratch: Scratch) -> DataFrame:
+    """What a stream over the purchases logs in append mode, over ten batches and a restart."""
+    log = intake.BatchLog(spark, scratch.path)
+    events = star.source(spark, root, "events").withColumn("at", F.col("ts").cast("timestamp").cast("double"))
+    schemas = []
+
+    def start(stream: DataFrame, progress: str):
+        made = build(B.purchases(stream))
+        schemas.append(made.schema)
+        return intake.run(made, lambda df, n: log.write("made", n, df), progress)
+
+    last = replay(spark, events, "at", scratch.path, start)
+    return log.read("made", schemas[0], -1, last + 1).drop("batch")
+
+
+def _replayed_sales(spark: SparkSession, root: str) -> DataFrame:
+    """The days that the watermark has closed."""
+    days = _purchases_replayed(spark, root, sales.daily_sales, Scratch(spark, "replay-sales"))
+    return days.drop("DailyCustomers")
+
+
+def _replayed_buyers(spark: SparkSession, root: str) -> DataFrame:
+    pairs = _purchases_replayed(spark, root, sales.daily_buyers, Scratch(spark, "replay-buyers"))
+    return pairs.groupBy(F.date_format("Day", "yyyy-MM-dd").alias("Date")).agg(F.count("*").alias("DailyCustomers"))
+
+
+def _replayed_payments(spark: SparkSession, root: str) -> DataFrame:
+    scratch = Scratch(spark, "replay-payments")
+    log = intake.BatchLog(spark, scratch.path)
+    events = star.source(spark, root, "events")
+    folds = intake.folded_payments(B.payment_events(events))
+    start = lambda stream, progress: intake.run(
+        intake.folded_payments(B.payment_events(stream)), intake.payment_intake(log), progress, "update")
+    last = replay(spark, events, "event_id", scratch.path, start)
+    return intake.orders_with_payments(log, star.orders(spark, root), folds.schema, last)
+
+
+def _replayed_checks(spark: SparkSession, root: str) -> DataFrame:
+    scratch = Scratch(spark, "replay-checks")
+    log = intake.BatchLog(spark, scratch.path)
+    drafts, lines = B.draft_orders(spark, root)
+    step = intake.order_checks(log, intake.with_stored_lines(lines))
+    last = replay(spark, drafts, "OrderID", scratch.path, lambda stream, progress: intake.run(stream, step, progress))
+    schema = validation.validate_orders(drafts, lines).schema
+    return log.read("judged", schema, -1, last + 1).select("OrderID", "Reason")
+
+
+def _replayed_deliveries(spark: SparkSession, root: str) -> DataFrame:
+    """First deliveries by order number, then the second ones, over ten batches and a restart."""
+    scratch = Scratch(spark, "replay-deliveries")
+    log = intake.BatchLog(spark, scratch.path)
+    headers, lines = B.deliveries(spark, root)
+    step = intake.exact_intake(
+        log, star.star_tables(spark, root), PROMOTION_AS_OF, intake.with_stored_lines(lines), snapshot_every=4)
+    turn = F.col("OrderID").cast("double") + (F.col("Delivery") - 1) * 4.0 * B.FAR
+    arriving = headers.withColumn("turn", turn)
+    last = replay(
+        spark, arriving, "turn", scratch.path, lambda stream, progress: intake.run(stream.drop("turn"), step, progress))
+    return log.read("decisions", intake.DELIVERED, -1, last + 1).drop("batch")
+
+
 def _referring(batch, references, *row: str):
     def run(spark: SparkSession, root: str) -> DataFrame:
         judged = constraints.with_references(
@@ -451,6 +513,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_payment_state": _streamed_payments,
     "stream_validate_orders": _streamed_checks,
     "stream_take_orders": _streamed_intake,
+    # streams over many batches, stopped and started again
+    "replay_sales_trends": _replayed_sales,
+    "replay_daily_buyers": _replayed_buyers,
+    "replay_payment_state": _replayed_payments,
+    "replay_validate_orders": _replayed_checks,
+    "replay_take_orders": _replayed_deliveries,
 }
 
 

@@ -1036,3 +1036,16 @@ _values("dash_top5_values", {
 })
 _ORACLES["stream_validate_orders"] = _ORACLES["validate_orders"]
 _ORACLES["stream_take_orders"] = _ORACLES["take_orders"]
+_ORACLES["replay_validate_orders"] = _ORACLES["validate_orders"]
+_ORACLES["replay_payment_state"] = _ORACLES["stream_payment_state"]
+_ORACLES["replay_take_orders"] = _ORACLES["take_orders_replayed"]
+# In append mode a day is out once the watermark, a day behind the last sale, has passed its end.
+_add("replay_sales_trends", "Date:s DailyOrders:n DailyRevenue:d AverageOrderValue:d",
+     """SELECT strftime(ts, '%Y-%m-%d') AS Date, count(*) AS DailyOrders,
+          sum(amount) AS DailyRevenue, round(CAST(sum(amount) AS DOUBLE) / count(*), 6) AS AverageOrderValue
+        FROM (SELECT ts, CAST(value AS DECIMAL(18,2)) AS amount FROM events WHERE event_type = 'purchase')
+        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <=
+          (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE event_type = 'purchase') GROUP BY 1""")
+_add("replay_daily_buyers", "Date:s DailyCustomers:n",
+     """SELECT strftime(ts, '%Y-%m-%d') AS Date, count(DISTINCT user_id) AS DailyCustomers
+        FROM events WHERE event_type = 'purchase' GROUP BY 1""")
