@@ -6,12 +6,13 @@ from shop_frames import frame, rows
 from pyspark.sql import functions as F
 
 from ledgerlane import schema as S
-from ledgerlane.plans import state, validation
+from ledgerlane.plans import constraints, state, validation
 from ledgerlane.plans.ordering import take_orders
 from ledgerlane.session import Scratch
 from ledgerlane.sources import requests as R
 from ledgerlane.streaming import orders as intake
 from ledgerlane.streaming import sales
+from ledgerlane.streaming.replay import replay
 from test_ordering import setting
 from test_state import EVENT
 
@@ -150,3 +151,42 @@ def test_payments_over_batches_equal_batch(spark, shop, tmp_path):
     now = intake.orders_with_payments(log, t.orders, folds.schema, query.lastProgress["batchId"])
     batch = state.apply_payments(t.orders, frame(spark, EVENT, *events))
     assert sorted(rows(now), key=str) == sorted(rows(batch), key=str)
+
+
+def test_numbers_are_decided_once_over_batches_crashes_and_repeats(spark, shop, tmp_path):
+    orders = [(n, n % 2 + 1, None, [(1, 2)]) for n in range(1, 9)] + [(50, 1, None, [(1, 1)]), (9, 77, None, [(1, 1)])]
+    t, headers, lines = setting(spark, shop, {1: 11}, {}, orders)
+    t = t.replace(customers=frame(spark, S.CUSTOMERS, {"CustomerID": 1}, {"CustomerID": 2}),
+                  orders=frame(spark, S.ORDERS, {"OrderID": 50}))
+    headers, lines = headers.withColumn("Delivery", F.lit(1)), lines.withColumn("Delivery", F.lit(1))
+    repeats = F.col("OrderID").isin(1, 2, 8)
+    every = headers.unionByName(headers.filter(repeats).withColumn("Delivery", F.lit(2)))
+    lines = lines.unionByName(lines.filter(repeats).withColumn("Delivery", F.lit(2)))
+    whole, _ = constraints.take_once(t, every, lines, NOW, Scratch(spark, "test"))
+
+    log = intake.BatchLog(spark, str(tmp_path / "log"))
+    step = intake.exact_intake(log, t, NOW, intake.with_stored_lines(lines), snapshot_every=2)
+    arriving = every.withColumn("turn", F.col("OrderID") + F.col("Delivery") * 1000)
+    batches_of = [arriving.filter(F.col("turn").between(a, b)).drop("turn") for a, b in (
+        (1001, 1003), (1004, 1050), (2001, 2001), (2002, 2999))]
+    for number, batch in enumerate(batches_of):
+        step(batch, number)
+        if number == 1:  # a crash after the writes: the batch comes again
+            step(batch, number)
+    decided = lambda df: sorted(rows(df, "OrderID", "Delivery", "Accepted", "Reason"), key=str)
+    logged = log.read("decisions", intake.DELIVERED, -1, 99)
+    assert decided(logged) == decided(whole)
+    assert [r for r in decided(logged) if r[1] == 2] == [(n, 2, False, "repeated_request") for n in (1, 2, 8)]
+    assert (50, 1, False, "order_exists") in decided(logged) and (9, 1, False, "unknown_customer") in decided(logged)
+    sold = log.read("order_details", t.order_details.schema, -1, 99)
+    assert sold.agg(F.sum("Quantity")).first()[0] == 10 and sold.select("OrderID").distinct().count() == 5
+
+
+def test_replay_stops_and_goes_on_in_order(spark, tmp_path):
+    data = spark.range(95).select(F.col("id").cast("long").alias("k"))
+    seen = []
+    start = lambda stream, progress: intake.run(
+        stream, lambda df, n: seen.append((n, sorted(r.k for r in df.collect()))), progress)
+    last = replay(spark, data, "k", str(tmp_path), start, pieces=10)
+    assert last == 9 and [n for n, _ in seen] == list(range(10))
+    assert [k for _, own in seen for k in own] == list(range(95))
