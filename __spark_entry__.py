@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 
 from ledgerlane.plans import catalog, constraints, dashboard, orders, ordering, parties, payments
 from ledgerlane.plans import promotions, revenue, rollup, state, validation
+from ledgerlane.schema import ORDER_REQUEST
 from ledgerlane.session import Scratch
 from ledgerlane.sources import batches as B
-from ledgerlane.sources import star
+from ledgerlane.sources import requests, star
 from ledgerlane.sources.tables import Tables
 from ledgerlane.streaming import orders as intake
 from ledgerlane.streaming import sales
@@ -337,6 +338,16 @@ def _served_once(spark: SparkSession, root: str) -> DataFrame:
     return constraints.take_once(t, *B.deliveries(spark, root), PROMOTION_AS_OF, scratch)[0]
 
 
+def _texts_read(spark: SparkSession, root: str) -> DataFrame:
+    """Requests in JSON: whether each is taken, and what it asks for."""
+    judged = requests.read_texts(
+        B.request_texts(star.source(spark, root, "events")), "Text", ORDER_REQUEST, ("OrderID", "CustomerID", "items"))
+    items = F.col("Parsed.items")
+    total = F.aggregate(items, F.lit(0), lambda s, i: s + i["Quantity"])
+    return judged.select(
+        "event_id", "Reason", F.coalesce(F.size(items), F.lit(0)).alias("Lines"), F.coalesce(total, F.lit(0)).alias("Quantity"))
+
+
 def _rolled(report):
     """A report from the stored rollup."""
     return _tables_query(lambda t: report(revenue.stored_rollup(t)))
@@ -470,6 +481,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_orders": _order_drafts,
     "validate_promotions": lambda s, d: _reasons(
         validation.validate_promotions(B.promotion_requests(s, d)), "RequestID"),
+    "read_requests": _texts_read,
     "unique_customer_email": _unique(B.customer_requests, "customers", "CustomerID", "Email"),
     "unique_supplier_phone": _unique(B.supplier_requests, "suppliers", "SupplierID", "Phone"),
     "unique_promotion_code": _unique(

@@ -263,6 +263,18 @@ def payment_events(events: DataFrame) -> DataFrame:
     )
 
 
+def request_texts(events: DataFrame) -> DataFrame:
+    """Events as JSON order requests of the book that their props name; what goes wrong depends on the kind of event."""
+    book, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    quantity = F.when(kind == "signup", '"two"').otherwise("2")
+    items = F.when(kind == "view", "null").when(kind == "click", "[]").otherwise(
+        F.concat(F.lit('[{"BookID":1,"Quantity":1},{"BookID":'), book, F.lit(',"Quantity":'), quantity, F.lit("}]")))
+    text = F.concat(
+        F.lit('{"OrderID":'), F.col("event_id"), F.lit(',"CustomerID":'), F.col("user_id"), F.lit(',"items":'), items, F.lit("}"))
+    cut = F.when(kind == "error", F.left(text, F.length(text) - 3)).otherwise(text)
+    return events.select("event_id", F.when(book != "13", cut).alias("Text"))
+
+
 def purchases(events: DataFrame) -> DataFrame:
     """Purchase events as sales."""
     return events.filter("event_type = 'purchase'").select(

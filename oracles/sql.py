@@ -978,6 +978,25 @@ _add("take_orders_replayed", "OrderID:n Delivery:n Accepted:b Reason:s",
 
 for _name in ("take_orders", "take_orders_stock", "take_orders_replayed"):
     _ORACLES[_name] = _ORACLES[_name].replace("WITH", "WITH RECURSIVE", 1)
+_add("read_requests", "event_id:n Reason:s Lines:n Quantity:n", """
+     SELECT event_id, refusal AS Reason,
+       CASE WHEN refusal IS NULL THEN json_array_length(Text, '$.items') ELSE 0 END AS Lines,
+       CASE WHEN refusal IS NULL THEN list_sum(CAST(json_extract(Text, '$.items[*].Quantity') AS BIGINT[])) ELSE 0 END AS Quantity
+     FROM judged""", """
+  request_texts AS (
+    SELECT event_id, CASE WHEN json_extract_string(props, '$.k') <> '13' THEN
+      CASE WHEN event_type = 'error' THEN left(whole, length(whole) - 3) ELSE whole END END AS Text
+    FROM (SELECT *, '{"OrderID":' || event_id || ',"CustomerID":' || user_id || ',"items":' || CASE event_type
+        WHEN 'view' THEN 'null' WHEN 'click' THEN '[]'
+        ELSE '[{"BookID":1,"Quantity":1},{"BookID":' || json_extract_string(props, '$.k') || ',"Quantity":'
+             || CASE event_type WHEN 'signup' THEN '"two"' ELSE '2' END || '}]' END || '}' AS whole FROM events)),
+  judged AS (
+    SELECT *, CASE WHEN Text IS NULL THEN 'no_text' WHEN NOT json_valid(Text) THEN 'malformed'
+      WHEN json_type(Text, '$.items') = 'NULL' THEN 'missing_items'
+      WHEN json_array_length(Text, '$.items') = 0 THEN 'no_items'
+      WHEN list_contains(json_type(Text, ['$.items[0].Quantity', '$.items[1].Quantity']), 'VARCHAR') THEN 'wrong_type'
+      END AS refusal FROM request_texts),
+""")
 # Reports merged from the rollup are those made from orders.
 for _name, _report in (
     ("monthly", "dash_monthly"), ("weekly", "rev_weekly"), ("yearly", "rev_yearly"), ("summary", "rev_summary"),

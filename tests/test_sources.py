@@ -11,6 +11,7 @@ from ledgerlane.operators.relational import lookup
 from ledgerlane.plans import dashboard as D
 from ledgerlane.plans import orders as O
 from ledgerlane.session import Scratch, checkpoint_root
+from ledgerlane.sources import requests as R
 from ledgerlane.sources import star
 from ledgerlane.sources.layout import save_by_date, save_tables
 from ledgerlane.sources.tables import Tables, read_tables
@@ -78,3 +79,28 @@ def test_lookup_matches_a_plain_left_join(spark):
     plain = facts.join(dim, ["PromotionID", "CustomerID"], "left")
     columns = ("OrderID", "PromotionID", "CustomerID", "v")
     assert sorted(rows(got, *columns), key=str) == sorted(rows(plain, *columns), key=str)
+
+
+REQUEST_TEXTS = {
+    1: ('{"OrderID":1,"CustomerID":2,"items":[{"BookID":1,"Quantity":2,"Price":3.5}],"more":true}', None),
+    2: (None, "no_text"), 3: ("  ", "no_text"), 4: ("{oops", "malformed"), 5: ("[1,2]", "no_object"), 6: ("7", "no_object"),
+    7: ('{"OrderID":"x","CustomerID":2,"items":[{"BookID":1}]}', "wrong_type"),
+    8: ('{"OrderID":1,"CustomerID":2,"items":[{"BookID":1,"Quantity":"two"}]}', "wrong_type"),
+    9: ('{"CustomerID":2,"items":[{"BookID":1}]}', "missing_OrderID"), 10: ('{"OrderID":1,"CustomerID":2}', "missing_items"),
+    11: ('{"OrderID":1,"CustomerID":2,"items":null}', "missing_items"), 12: ('{"OrderID":1,"CustomerID":2,"items":[]}', "no_items"),
+    13: ('{"OrderID":1,"CustomerID":2,"items":{"BookID":1}}', "wrong_type"),
+}
+
+
+def test_request_texts_are_read_or_refused_with_a_reason(spark, tmp_path):
+    texts = spark.createDataFrame([(k, t) for k, (t, _) in REQUEST_TEXTS.items()], "n int, Text string")
+    judged = R.read_texts(texts, "Text", S.ORDER_REQUEST, ("OrderID", "CustomerID", "items"))
+    assert dict(rows(judged, "n", "Reason")) == {k: reason for k, (_, reason) in REQUEST_TEXTS.items()}
+    assert judged.filter("Reason IS NOT NULL AND Parsed IS NOT NULL").count() == 0
+    R.write_read(judged, str(tmp_path / "good"), str(tmp_path / "bad"))
+    good = spark.read.schema(S.ORDER_REQUEST).parquet(str(tmp_path / "good"))
+    assert rows(good, "OrderID", "CustomerID") == [(1, 2)] and good.first().asDict(True)["items"][0]["Quantity"] == 2
+    bad = spark.read.parquet(str(tmp_path / "bad"))
+    assert dict(rows(bad, "n", "Reason")) == {k: r for k, (_, r) in REQUEST_TEXTS.items() if r}
+    assert dict(rows(bad, "n", "Text"))[4] == "{oops"
+    assert R.read_texts(texts.limit(0), "Text", S.ORDER_REQUEST, ("items",)).count() == 0
