@@ -24,7 +24,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.tables import row_key
@@ -36,8 +36,8 @@ from ledgerlane.session import Scratch
 CIRCLE = 1 << 20
 #: Parts into which the nodes of a hub are dealt where they are joined with its set.
 SALTS = 32
-#: Bits of one of Spark's bitmaps.
-BITMAP = 32_768
+#: Bits of one of Spark's bitmaps; from how many seekers on a difference is in a class.
+BITMAP, CLASSES = 32_768, (1, 2, 4, 16, 64)
 
 
 @dataclass(frozen=True)
@@ -191,31 +191,37 @@ def _many(entries: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
     with_hub = apart.where((F.col("over") <= 0) & (F.col("label") != F.col("main"))).select(
         F.col("node").alias("u"), F.col("hub").alias("v"))
 
-    # One order of differences for all nodes of a hub: by how many seekers have them, rarest first.  Those that no seeker
-    # has lead every node's order; a bitmap of what seekers have keeps nearly all of them from being spread out.
+    # One order of differences for all nodes of a hub: those that no seeker has first, then by how many seekers have them,
+    # in classes, then by their hash.  Classes are read off bitmaps of hashes: where two hashes share a bit both are in the
+    # higher class, for every node alike.
     about = ["hub", "node", "label", "size", "h", "w", "n"]
-    seeking = scratch.save(
-        apart.where("seek_reach > 0").select(*about, F.col("seek_reach").alias("far"), F.explode("parts").alias("part")), "seeking")
-    asked = scratch.save(seeking.groupBy("hub", "part").agg(
-        F.count("*").alias("often"), F.min("label").alias("least"), F.max("label").alias("most")), "asked")
-    seen = asked.groupBy("hub").agg(F.bitmap_construct_agg(F.pmod("part", F.lit(BITMAP))).alias("seen"))
-    byte = lambda x: F.conv(F.hex(F.substring(
-        F.col("seen"), (F.floor(F.pmod(x, F.lit(BITMAP)) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_seen = lambda x: byte(x).bitwiseAND(F.element_at(
-        F.array(*(F.lit(1 << k) for k in range(8))), (F.pmod(x, F.lit(8)) + 1).cast("int"))) != 0
-    near = apart.join(seen, "hub").select(
-        *about, F.col("reach").alias("far"), F.explode(F.filter("parts", is_seen)).alias("part"))
-    node = Window.partitionBy("hub", "node")
-
-    def placed(rows: DataFrame) -> DataFrame:
-        place = F.col("n") - F.count("*").over(node) + F.row_number().over(node.orderBy("often", "part"))
-        return rows.join(asked, ["hub", "part"]).withColumn("place", place).where("place <= far").drop("often", "far")
-
-    seekers = scratch.save(placed(seeking), "seekers")
-    sought = scratch.save(placed(near), "sought")
+    asked = apart.where("seek_reach > 0").select("hub", F.explode("parts").alias("part")).groupBy("hub", "part").agg(
+        F.count("*").alias("often"))
+    bit = F.pmod("part", F.lit(BITMAP))
+    classes = scratch.save(asked.groupBy("hub").agg(*(
+        F.bitmap_construct_agg(F.when(F.col("often") >= least, bit)).alias(f"from{k}") for k, least in enumerate(CLASSES))), "classes")
+    marks = F.array(*(F.lit(1 << k) for k in range(8)))
+
+    def has(bitmap: str, part):
+        byte = F.conv(F.hex(F.substring(
+            F.col(bitmap), (F.floor(F.pmod(part, F.lit(BITMAP)) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return (byte.bitwiseAND(F.element_at(marks, (F.pmod(part, F.lit(8)) + 1).cast("int"))) != 0).cast("int")
+
+    rank = lambda part: sum((has(f"from{k}", part) for k in range(1, len(CLASSES))), has("from0", part))
+
+    def placed(rows: DataFrame, reach: str) -> DataFrame:
+        """Of the first ``reach`` differences of each node those that some seeker may have, with their places."""
+        order = F.slice(F.array_sort(F.transform("parts", lambda x: F.struct(rank(x).alias("rank"), x.alias("part")))),
+                        F.lit(1), F.col(reach).cast("int"))
+        numbered = F.transform(order, lambda x, at: F.struct(
+            x["part"].alias("part"), (at + 1).alias("place"), x["rank"].alias("rank")))
+        return rows.join(classes, "hub").select(*about, F.inline(F.filter(numbered, lambda x: x["rank"] > 0))).drop("rank")
+
+    seekers = scratch.save(placed(apart.where("seek_reach > 0"), "seek_reach"), "seekers")
+    sought = scratch.save(placed(apart, "reach"), "sought")
     # parts that only one component's nodes have lead to no pair
-    shared = sought.groupBy("hub", "part").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).join(
-        asked, ["hub", "part"]).where("l1 != l2 or least != most or l1 != least").select("hub", "part")
+    shared = sought.select("hub", "part", "label").unionByName(seekers.select("hub", "part", "label")).groupBy("hub", "part").agg(
+        F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2").select("hub", "part")
     side = lambda rows, name: rows.select(
         "hub", "part", F.col("node").alias(name), "h", *(F.col(c).alias(f"{c}_{name}") for c in ("label", "size", "w", "n", "place"))
     )
