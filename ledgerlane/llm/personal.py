@@ -150,12 +150,14 @@ def _marked(tokens: str, seeds: str) -> Column:
 
     Tokens are taken in runs of about the root of their number, each with the seeds of its stretch of the text.
     """
-    size = F.ceil(F.sqrt(F.size(tokens))).cast("int")
-    firsts = F.sequence(F.lit(1), F.size(tokens), size)
+    # also right for no tokens: the optimizer may try this before rows without any are left out
+    size = F.greatest(F.ceil(F.sqrt(F.size(tokens))), F.lit(1)).cast("int")
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)), size)
     over = lambda s, a, b: (s["start"] < b) & (a < s["end"])
 
     def told(run: Column) -> Column:
-        near = F.filter(seeds, lambda s: over(s, run[0]["start"], F.element_at(run, -1)["end"]))
+        first, last = F.get(run, F.lit(0)), F.try_element_at(run, F.lit(-1))
+        near = F.filter(seeds, lambda s: over(s, first["start"], last["end"]))
         return _bound(near, lambda own: F.transform(run, lambda t: F.struct(
             *(t[c].alias(c) for c in ("start", "end", "before", "shape", "token")),
             F.exists(own, lambda s: over(s, t["start"], t["end"])).alias("seed"))))
