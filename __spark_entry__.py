@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlane.plans import catalog, constraints, dashboard, orders, ordering, parties, payments
-from ledgerlane.plans import promotions, revenue, rollup, state, validation
+from ledgerlane.plans import profile, promotions, revenue, rollup, state, validation
 from ledgerlane.schema import ORDER_REQUEST
 from ledgerlane.session import Scratch
 from ledgerlane.sources import batches as B
@@ -42,6 +42,7 @@ RANGE = (dt.date(1998, 1, 1), dt.date(1998, 12, 31))
 #: Whole-number columns that may be null are compared as text.
 NULLABLE_NUMBERS = {
     "SupplierID", "PaymentMethodID", "PromotionID", "UsageLimit", "TargetID_Value", "CustomerID",
+    "FirstKey", "LastKey",
 }
 
 
@@ -498,6 +499,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fk_targets": _referring(B.referring_targets, constraints.PROMOTION_TARGETS, "TargetID"),
     "fk_promotion_usage": _referring(star.promotion_usage, constraints.PROMOTION_USAGE, "UsageID"),
     "take_orders_replayed": _served_once,
+    "constraint_profile": lambda spark, root: profile.constraint_profile(star.star_tables(spark, root)),
     # state after changes
     "upsert_books": _book_updates,
     "upsert_customers": _customer_updates,

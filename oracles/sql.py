@@ -948,6 +948,50 @@ _add("fk_promotion_usage", "UsageID:n Reason:s", f"""SELECT UsageID, CASE
        WHEN {_lacks("CustomerID", "customers")} THEN 'unknown_customer' END AS Reason
      FROM promotion_usage b""")
 
+# Declared rules: table, its name here, key, and column, rule and what breaks it.
+_BROKEN = {
+    ("books", "books", "BookID"): [
+        *((c, "width_100", f"length({c}) > 100") for c in ("Title", "Author", "Genre")),
+        ("Price", "decimal_10_2", "abs(Price) >= 100000000"),
+        *((c, "at_least_0", f"{c} < 0") for c in ("Stock", "InputQuantity", "OutputQuantity"))],
+    ("customers", "customers", "CustomerID"): [
+        ("Name", "width_50", "length(Name) > 50"), ("Email", "width_100", "length(Email) > 100"),
+        ("Phone", "width_10", "length(Phone) > 10")],
+    ("suppliers", "suppliers", "SupplierID"): [
+        ("Name", "width_100", "length(Name) > 100"), ("Phone", "width_10", "length(Phone) > 10")],
+    ("orders", "shop_orders", "OrderID"): [
+        *((c, "decimal_10_2", f"abs({c}) >= 100000000") for c in ("SubTotal", "DiscountAmount", "TotalAmount")),
+        ("PaymentStatus", "one_of", "PaymentStatus NOT IN ('pending', 'paid', 'failed', 'refunded')"),
+        ("TransactionID", "width_100", "length(TransactionID) > 100")],
+    ("order_details", "order_details", "OrderID"): [
+        ("OrderID", "given", "OrderID IS NULL"), ("BookID", "given", "BookID IS NULL"),
+        ("Quantity", "at_least_1", "Quantity < 1"), ("Price", "decimal_10_2", "abs(Price) >= 100000000")],
+    ("promotions", "promotions", "PromotionID"): [
+        *((c, "given", f"{c} IS NULL") for c in (
+            "PromotionCode", "PromotionName", "DiscountType", "DiscountValue", "StartDate", "EndDate")),
+        ("PromotionCode", "width_20", "length(PromotionCode) > 20"),
+        ("PromotionName", "width_100", "length(PromotionName) > 100"),
+        ("DiscountType", "one_of", "DiscountType NOT IN ('percentage', 'fixed_amount')"),
+        *((c, "decimal_10_2", f"abs({c}) >= 100000000") for c in ("DiscountValue", "MinimumOrderAmount", "MaximumDiscount")),
+        ("DiscountValue", "above_0", "DiscountValue <= 0"), ("EndDate", "not_before_start", "EndDate < StartDate"),
+        ("UsageLimit", "above_0", "UsageLimit <= 0"), ("UsedCount", "at_least_0", "UsedCount < 0")],
+    ("promotion_types", "promotion_types", "TypeID"): [
+        ("TypeName", "given", "TypeName IS NULL"), ("TypeName", "width_50", "length(TypeName) > 50")],
+    ("promotion_targets", "promotion_targets", "TargetID"): [
+        ("PromotionID", "given", "PromotionID IS NULL"), ("TargetType", "given", "TargetType IS NULL"),
+        ("TargetType", "one_of", "TargetType NOT IN ('product', 'customer', 'category', 'all')")],
+    ("payment_methods", "payment_methods", "PaymentMethodID"): [
+        ("MethodName", "given", "MethodName IS NULL"), ("MethodName", "width_50", "length(MethodName) > 50")],
+    ("promotion_usage", "promotion_usage", "UsageID"): [
+        *((c, "given", f"{c} IS NULL") for c in ("PromotionID", "OrderID", "CustomerID", "DiscountAmount")),
+        ("DiscountAmount", "decimal_10_2", "abs(DiscountAmount) >= 100000000")],
+}
+_add("constraint_profile", "Table:s Column:s Rule:s Rows:n Violations:n FirstKey:x LastKey:x", " UNION ALL ".join(
+    f"""SELECT '{table}' AS "Table", '{column}' AS "Column", '{rule}' AS "Rule",
+        (SELECT count(*) FROM {name}) AS "Rows", count(*) AS Violations,
+        min({key}) AS FirstKey, max({key}) AS LastKey FROM {name} WHERE {broken}"""
+    for (table, name, key), rules in _BROKEN.items() for column, rule, broken in rules))
+
 # Paid orders are delivered once more, others under a new number, pending ones twice; each number is served once.
 _NEW = f"CASE WHEN o_orderstatus <> 'F' THEN {FAR} ELSE 0 END"
 _DELIVERIES = (
