@@ -182,6 +182,25 @@ def test_numbers_are_decided_once_over_batches_crashes_and_repeats(spark, shop,
     assert sold.agg(F.sum("Quantity")).first()[0] == 10 and sold.select("OrderID").distinct().count() == 5
 
 
+def test_reasons_do_not_depend_on_how_requests_are_cut_into_batches(spark, shop, tmp_path):
+    orders = [(n, c, 1, [(1, 1)]) for n, c in enumerate((2, 3, 2, 1, 3, 4, 5), 1)] + [(8, 9, 2, [(1, 1)])]
+    t, headers, lines = setting(spark, shop, {1: 50}, {1: 4, 2: 0}, orders)
+    t = t.replace(customers=frame(spark, S.CUSTOMERS, *({"CustomerID": n} for n in range(10))))
+    headers, lines = headers.withColumn("Delivery", F.lit(1)), lines.withColumn("Delivery", F.lit(1))
+    whole, _ = constraints.take_once(t, headers, lines, NOW, Scratch(spark, "test"))
+    decided = lambda df: sorted(rows(df, "OrderID", "Accepted", "Reason"), key=str)
+    assert {r[2] for r in decided(whole)} == {None, "already_used", "promotion_exhausted", "promotion_refused"}
+    exact, plain = (intake.BatchLog(spark, str(tmp_path / name)) for name in ("exact", "plain"))
+    once = intake.exact_intake(exact, t, NOW, intake.with_stored_lines(lines), snapshot_every=2)
+    serve = intake.order_intake(plain, t, NOW, snapshot_every=2, split=intake.with_stored_lines(lines.drop("Delivery")))
+    for number, last in enumerate((2, 4, 8)):
+        batch = headers.filter(F.col("OrderID").between((1, 3, 5)[number], last))
+        once(batch, number)
+        serve(batch.drop("Delivery"), number)
+    assert decided(exact.read("decisions", intake.DELIVERED, -1, 99)) == decided(whole)
+    assert decided(plain.read("decisions", intake.DELIVERED, -1, 99)) == decided(whole)
+
+
 def test_replay_stops_and_goes_on_in_order(spark, tmp_path):
     data = spark.range(95).select(F.col("id").cast("long").alias("k"))
     seen = []
