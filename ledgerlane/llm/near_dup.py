@@ -36,8 +36,10 @@ from ledgerlane.session import Scratch
 CIRCLE = 1 << 20
 #: Parts into which the nodes of a hub are dealt where they are joined with its set.
 SALTS = 32
-#: Bits of one of Spark's bitmaps; from how many seekers on a difference is in a class.
-BITMAP, CLASSES = 32_768, (1, 2, 4, 16, 64)
+#: About so many differences from a hub are counted by one task.
+COUNTED = 16_384
+#: Differences that one numpy step deals, unless a single node has more.
+STEP = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -156,6 +158,49 @@ def _few(entries: DataFrame, percent: int) -> DataFrame:
     return seekers.join(sought, ["key", "class"]).where(fits & other).select("u", "v")
 
 
+def _ranked(apart: DataFrame, scratch: Scratch) -> DataFrame:
+    """(hub, node, found): the differences that some seeker has and nodes of two components, by rising number of seekers.
+
+    ``found`` is an array of (often, part).  A hub's differences are dealt by hash, about ``COUNTED`` to a task, and stay in
+    arrays by node: most differences in a family of copies are one node's own, and need no row to find that out.
+    """
+    shares = scratch.save(apart.groupBy("hub").agg(F.ceil(F.sum("n") / COUNTED).alias("shares")), "shares")
+    every = apart.where("n > 0").join(shares, "hub").select("hub", "node", "label", "seeks", "shares", "parts")
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, some in batch.groupby(batch["parts"].map(len).cumsum() // STEP):
+                row = np.repeat(np.arange(len(some)), some["parts"].map(len).to_numpy(np.int64))
+                parts = np.concatenate(some["parts"].tolist())
+                share = (mix(parts.view(np.uint64)) % some["shares"].to_numpy(np.uint64)[row]).astype(np.int64)
+                order = np.lexsort((share, row))
+                row, share, parts = row[order], share[order], parts[order]
+                starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(share, prepend=-1) != 0))
+                out = some[["hub", "node", "label", "seeks"]].iloc[row[starts]].reset_index(drop=True)
+                yield out.assign(share=share[starts], parts=pd.Series(np.split(parts, starts[1:]), dtype=object))
+
+    def counted(group: pd.DataFrame) -> pd.DataFrame:
+        row = np.repeat(np.arange(len(group)), group["parts"].map(len).to_numpy(np.int64))
+        values, of = np.unique(np.concatenate(group["parts"].tolist()), return_inverse=True)
+        often = np.bincount(of, group["seeks"].to_numpy(np.float64)[row]).astype(np.int64)
+        label = group["label"].to_numpy(np.int64)[row]
+        least, most = label[np.unique(of, return_index=True)[1]], np.full(len(values), np.iinfo(np.int64).min)
+        np.minimum.at(least, of, label)
+        np.maximum.at(most, of, label)
+        useful = ((often > 0) & (least != most))[of]
+        row, of = row[useful], of[useful]
+        starts = np.flatnonzero(np.diff(row, prepend=-1) != 0)
+        cut = lambda x: pd.Series(np.split(x, starts[1:]) if len(starts) else [], dtype=object)
+        out = group[["hub", "node"]].iloc[row[starts]].reset_index(drop=True)
+        return out.assign(often=cut(often[of]), part=cut(values[of]))
+
+    fields = "hub long, node long, label long, seeks boolean, share long, parts array<long>"
+    found = every.mapInPandas(dealt, fields).groupBy("hub", "share").applyInPandas(
+        counted, "hub long, node long, often array<long>, part array<long>")
+    return found.groupBy("hub", "node").agg(
+        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("often", "part")))).alias("found"))
+
+
 def _many(entries: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs of crowded buckets that can still be links, by how their sets differ from one common set, the hub's.
 
@@ -191,41 +236,23 @@ def _many(entries: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
     with_hub = apart.where((F.col("over") <= 0) & (F.col("label") != F.col("main"))).select(
         F.col("node").alias("u"), F.col("hub").alias("v"))
 
-    # One order of differences for all nodes of a hub: those that no seeker has first, then by how many seekers have them,
-    # in classes, then by their hash.  Classes are read off bitmaps of hashes: where two hashes share a bit both are in the
-    # higher class, for every node alike.
-    about = ["hub", "node", "label", "size", "h", "w", "n"]
-    asked = apart.where("seek_reach > 0").select("hub", F.explode("parts").alias("part")).groupBy("hub", "part").agg(
-        F.count("*").alias("often"))
-    bit = F.pmod("part", F.lit(BITMAP))
-    classes = scratch.save(asked.groupBy("hub").agg(*(
-        F.bitmap_construct_agg(F.when(F.col("often") >= least, bit)).alias(f"from{k}") for k, least in enumerate(CLASSES))), "classes")
-    marks = F.array(*(F.lit(1 << k) for k in range(8)))
-
-    def has(bitmap: str, part):
-        byte = F.conv(F.hex(F.substring(
-            F.col(bitmap), (F.floor(F.pmod(part, F.lit(BITMAP)) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return (byte.bitwiseAND(F.element_at(marks, (F.pmod(part, F.lit(8)) + 1).cast("int"))) != 0).cast("int")
-
-    rank = lambda part: sum((has(f"from{k}", part) for k in range(1, len(CLASSES))), has("from0", part))
+    # One order of differences for all nodes of a hub: those that lead to no pair first, which are left out, then by how many
+    # seekers have them, then by their hash.
+    ranked = scratch.save(_ranked(apart, scratch), "ranked").join(apart.drop("parts"), ["hub", "node"])
 
     def placed(rows: DataFrame, reach: str) -> DataFrame:
-        """Of the first ``reach`` differences of each node those that some seeker may have, with their places."""
-        order = F.slice(F.array_sort(F.transform("parts", lambda x: F.struct(rank(x).alias("rank"), x.alias("part")))),
-                        F.lit(1), F.col(reach).cast("int"))
-        numbered = F.transform(order, lambda x, at: F.struct(
-            x["part"].alias("part"), (at + 1).alias("place"), x["rank"].alias("rank")))
-        return rows.join(classes, "hub").select(*about, F.inline(F.filter(numbered, lambda x: x["rank"] > 0))).drop("rank")
-
-    seekers = scratch.save(placed(apart.where("seek_reach > 0"), "seek_reach"), "seekers")
-    sought = scratch.save(placed(apart, "reach"), "sought")
-    # parts that only one component's nodes have lead to no pair
-    shared = sought.select("hub", "part", "label").unionByName(seekers.select("hub", "part", "label")).groupBy("hub", "part").agg(
-        F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2").select("hub", "part")
+        """Of the first ``reach`` differences of each node those that may lead to a pair, with their places."""
+        numbered = F.transform("found", lambda x, at: F.struct(
+            x["part"].alias("part"), (F.col("n") - F.size("found") + at + 1).alias("place")))
+        return rows.select("hub", "node", "label", "size", "h", "w", "n", F.inline(
+            F.filter(numbered, lambda x: x["place"] <= F.col(reach))))
+
+    seekers = scratch.save(placed(ranked.where("seek_reach > 0"), "seek_reach"), "seekers")
+    sought = scratch.save(placed(ranked, "reach"), "sought")
     side = lambda rows, name: rows.select(
         "hub", "part", F.col("node").alias(name), "h", *(F.col(c).alias(f"{c}_{name}") for c in ("label", "size", "w", "n", "place"))
     )
-    found = side(seekers.join(shared, ["hub", "part"]), "u").join(side(sought, "v").drop("h"), ["hub", "part"])
+    found = side(seekers, "u").join(side(sought, "v").drop("h"), ["hub", "part"])
     fits = 100 * F.least("size_u", "size_v") >= p * F.greatest("size_u", "size_v")
     # the first difference that a pair shares leaves so many at most that it can share
     rest = 1 + F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v"))

@@ -153,3 +153,29 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     found = near_duplicates(documents(spark, [(1, text), (5, text), (5, other)]), Settings(), scratch(spark, "t"))
     assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(1, 1), (5, 1), (5, 5)]
     assert found.select("row").distinct().count() == 3
+
+
+def test_differences_of_one_node_alone_get_no_row(spark, monkeypatch):
+    """Most differences in a family are one node's own; only those that lead to a pair are spread out."""
+    rng = random.Random(9)
+    hub = list(range(1000, 1100))
+    sets = {1: hub}
+    for node in range(2, 80):
+        gone = set(rng.sample(hub, 25))
+        sets[node] = [x for x in hub if x not in gone] + [10_000 * node + i for i in range(25)]
+    sets[80] = [*sets[7][:-2], 5, 6]
+    sets[81] = [*sets[80][:-1], 8]
+    frame = spark.createDataFrame([(n, own) for n, own in sets.items()], "node long, set array<long>")
+    entries = spark.createDataFrame([(n, 1, n, 1, len(own)) for n, own in sets.items()], "node long, hub long, label long, main long, size int")
+    similar = lambda a, b: 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))
+    want = {(u, v) for u in sets for v in sets if u < v and similar(sets[u], sets[v])}
+    assert {(7, 80), (80, 81)} <= want
+    for counted in (near_dup.COUNTED, 50):
+        monkeypatch.setattr(near_dup, "COUNTED", counted)
+        tables = scratch(spark, "t")
+        got = {tuple(sorted((r.u, r.v))) for r in near_dup._many(entries, frame, 80, tables).collect()}
+        assert want <= got
+        # own differences, 25 of each node's 50, come first in the order and would be most of the rows
+        spread = spark.read.parquet(f"{tables.path}/seekers")
+        assert spread.where("part >= 20000").select("node").distinct().count() <= 3
+        assert spread.where("place <= 22").select("node").distinct().count() <= 3
