@@ -113,10 +113,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), settings.words)
             right = [bool(len(s)) and set_key(s) == n for s, n in zip(sets, batch["node"].tolist(), strict=True)]
-            yield pd.DataFrame({
-                "node": batch["node"][right],
-                "set": [s.view(np.int64) for s, ok in zip(sets, right, strict=True) if ok],
-            })
+            own = [s.view(np.int64) for s, ok in zip(sets, right, strict=True) if ok]
+            yield pd.DataFrame({"node": batch["node"][right].to_numpy(), "set": pd.Series(own, dtype=object)})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.join(wanted, "doc_id").select("node", "text").mapInPandas(run, "node long, set array<long>")
