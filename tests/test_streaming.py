@@ -3,6 +3,7 @@ import json
 
 import pytest
 from shop_frames import frame, rows
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane import schema as S
@@ -12,7 +13,7 @@ from ledgerlane.session import Scratch
 from ledgerlane.sources import requests as R
 from ledgerlane.streaming import orders as intake
 from ledgerlane.streaming import sales
-from ledgerlane.streaming.replay import replay
+from ledgerlane.streaming.replay import cuts, laid_out, put_pieces, replay
 from test_ordering import setting
 from test_state import EVENT
 
@@ -209,3 +210,35 @@ def test_replay_stops_and_goes_on_in_order(spark, tmp_path):
     last = replay(spark, data, "k", str(tmp_path), start, pieces=10)
     assert last == 9 and [n for n, _ in seen] == list(range(10))
     assert [k for _, own in seen for k in own] == list(range(95))
+
+
+def test_pieces_are_cut_at_exact_quantiles_of_ranges(spark, tmp_path):
+    values = [None, float("nan"), float("-inf"), float("inf"), -2.5, *[7.0] * 40, *(float(n % 31) for n in range(100))]
+    data = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, k double").repartition(5)
+    laid = laid_out(data, "k", str(tmp_path / "laid"))
+    assert cuts(laid, 1) == []
+    for pieces in (2, 7, 10, 400):
+        assert cuts(laid, pieces) == data.approxQuantile("k", [k / pieces for k in range(1, pieces)], 0.0)
+    ends = cuts(laid, 10)
+    put_pieces(laid, ends, 10, str(tmp_path / "in"), range(10))
+    arrived = [spark.read.schema(data.schema).parquet(f"{tmp_path}/in/piece={k:06d}").collect() for k in range(10)]
+    assert sorted(r.id for own in arrived for r in own) == list(range(1, len(values)))  # a row without a value never comes
+    for k, own in enumerate(arrived):
+        assert all((k == 0 or not r.k <= ends[k - 1]) and (k == 9 or r.k <= ends[k]) for r in own)
+    assert cuts(laid_out(data.where("k IS NULL"), "k", str(tmp_path / "none")), 10) == []
+
+
+def test_replay_holds_no_table_of_values_in_one_task(spark, tmp_path, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("quantiles without error keep every value in the memory of one task")
+
+    monkeypatch.setattr(DataFrame, "approxQuantile", refuse)
+    monkeypatch.setattr(type(spark.range(1)), "approxQuantile", refuse)
+    seen = []
+    start = lambda stream, progress: intake.run(
+        stream, lambda df, n: seen.append(sorted(r.k for r in df.collect())), progress)
+    replay(spark, spark.range(40).select((-F.col("id")).alias("k")), "k", str(tmp_path), start, pieces=4)
+    assert [k for own in seen for k in own] == list(range(-39, 1)) and [len(own) for own in seen] == [10] * 4
+    laid = laid_out(spark.range(40), "id", str(tmp_path / "laid"))
+    plan = laid.where("_at > 30.0")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(_at), GreaterThan(_at,30.0)]" in plan
