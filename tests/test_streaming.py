@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from shop_frames import frame, rows
@@ -242,3 +243,30 @@ def test_replay_holds_no_table_of_values_in_one_task(spark, tmp_path, monkeypatc
     laid = laid_out(spark.range(40), "id", str(tmp_path / "laid"))
     plan = laid.where("_at > 30.0")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(_at), GreaterThan(_at,30.0)]" in plan
+
+
+def test_lines_are_sought_among_the_numbers_of_a_batch(spark, tmp_path):
+    lines = spark.range(100).select(F.floor(F.col("id") / 2).alias("OrderID"), F.col("id").alias("BookID"))
+    lines.write.parquet(str(tmp_path / "lines"))
+    stored = spark.read.parquet(str(tmp_path / "lines"))
+    split = intake.with_stored_lines(stored)
+
+    def own(*numbers):
+        return split(spark.createDataFrame([(n,) for n in numbers], "OrderID long"))[1]
+
+    plan = own(9, 12, None, 9)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(OrderID,9), LessThanOrEqual(OrderID,12)" in plan
+    assert sorted(rows(own(9, 12, None, 9))) == [(9, 18), (9, 19), (12, 24), (12, 25)]
+    assert rows(own(None)) == rows(own()) == rows(own(77)) == []
+
+
+def test_a_batch_leaves_its_logs_only(spark, shop, tmp_path):
+    t, headers, lines = setting(spark, shop, {1: 9}, {}, [(1, 1, None, [(1, 1)]), (2, 1, None, [(1, 1)])])
+    t = t.replace(customers=frame(spark, S.CUSTOMERS, {"CustomerID": 1}))
+    headers, lines = headers.withColumn("Delivery", F.lit(1)), lines.withColumn("Delivery", F.lit(1))
+    shared = Path(Scratch(spark, "any").path.removeprefix("file:")).parent
+    before = set(shared.glob("intake-*"))
+    log = intake.BatchLog(spark, str(tmp_path / "log"))
+    intake.exact_intake(log, t, NOW, intake.with_stored_lines(lines))(headers, 0)
+    assert set(shared.glob("intake-*")) == before
+    assert log.read("decisions", intake.DELIVERED, -1, 1).where("Accepted").count() == 2
